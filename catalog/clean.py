@@ -176,8 +176,7 @@ def discovery(spark, d):
 
 
 @register("duplicate_groups", "duplicate_groups extra_rows", """
-SELECT count(*) AS duplicate_groups, sum(n - 1) AS extra_rows FROM (SELECT count(*) AS n FROM raw_fhvhv GROUP BY ALL HAVING count(*) > 1) q""".replace(
-    "SELECT count(*) AS n FROM raw_fhvhv GROUP BY ALL HAVING", "SELECT l_orderkey, l_linenumber, source_month, count(*) AS n FROM raw_fhvhv GROUP BY 1, 2, 3 HAVING"))
+SELECT count(*) AS duplicate_groups, sum(n - 1) AS extra_rows FROM (SELECT r.*, count(*) AS n FROM raw_fhvhv r GROUP BY ALL HAVING count(*) > 1) q""")
 def duplicates(spark, d):
     return P.duplicate_groups(T("raw_fhvhv")(spark, d))
 
@@ -336,8 +335,10 @@ def wait_groups(spark, d):
     return per_zone.select(F.explode(X.wait_group()).alias("wait_group"), "n").groupBy("wait_group").agg(F.sum("n").alias("trips"))
 
 
+cte("yrs", "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders")
+
+
 @register("recurring_event_dates", "year kind:str start_hour date:date", """
-WITH_YEARS""".replace("WITH_YEARS", """
 SELECT y AS year, k AS kind, h AS start_hour, CAST(dt AS DATE) AS date FROM (
   SELECT y, 'thanksgiving_parade' AS k, 9 AS h, make_date(y, 11, 1) + CAST((11 - dayofweek(make_date(y, 11, 1))) % 7 + 21 AS INTEGER) AS dt FROM yrs
   UNION ALL SELECT y, 'balloon_inflation', 18, make_date(y, 11, 1) + CAST((11 - dayofweek(make_date(y, 11, 1))) % 7 + 20 AS INTEGER) FROM yrs
@@ -345,15 +346,12 @@ SELECT y AS year, k AS kind, h AS start_hour, CAST(dt AS DATE) AS date FROM (
   UNION ALL SELECT y, 'new_year_eve', 18, make_date(y, 12, 31) FROM yrs
   UNION ALL SELECT y, 'pride_march', 12, make_date(y, 6, 30) - CAST(dayofweek(make_date(y, 6, 30)) AS INTEGER) FROM yrs
   UNION ALL SELECT y, 'marathon', 8, make_date(y, 11, 1) + CAST((7 - dayofweek(make_date(y, 11, 1))) % 7 AS INTEGER) FROM yrs
-  UNION ALL SELECT y, 'tennis_open', 11, make_date(y, 8, 28) + CAST(i AS INTEGER) FROM yrs, (SELECT unnest(range(0, 14)) AS i) s) q"""))
+  UNION ALL SELECT y, 'tennis_open', 11, make_date(y, 8, 28) + CAST(i AS INTEGER) FROM yrs, (SELECT unnest(range(0, 14)) AS i) s) q""")
 def recurring(spark, d):
     years = T("orders")(spark, d).select(F.year("o_orderdate").alias("year")).distinct()
     return cal.recurring_dates(years)
 
 
-cte("yrs", "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders")
-
-
 @register("venue_zone_bridge", "venue_id:str zone", """
 SELECT DISTINCT venue_id, zone FROM (SELECT venue_id, primary_zone AS zone FROM venues
   UNION ALL SELECT venue_id, CAST(trim(unnest(string_split(buffer_zones, ','))) AS BIGINT) FROM venues) q""")
