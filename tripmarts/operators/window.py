@@ -64,18 +64,60 @@ def add_group_mean(df: DataFrame, keys: list[str], value: Column, name: str) ->
     return df.join(means, keys, "left")
 
 
+def _spread(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
+    """Add `_part`: a value-ordered part number from approximate quantiles, so that a global order can be
+    worked on part by part. Equal values share a part; the cuts affect balance only."""
+    cuts = df.agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10000))).scalar()
+    return df.withColumn("_cuts", cuts).withColumn(
+        "_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
+
+
+def _part_offsets(parted: DataFrame, amount: Column) -> DataFrame:
+    """Amount in all earlier parts; one row per part."""
+    per_part = parted.groupBy("_part").agg(F.sum(amount).alias("_in_part"))
+    return per_part.select("_part", (F.sum("_in_part").over(Window.orderBy("_part")) - F.col("_in_part")).alias("_before"))
+
+
+def global_rank(df: DataFrame, value: str, tie: list[str], name: str = "rank") -> DataFrame:
+    """Row number 1..N over the whole table by (value, tie): offsets per part plus a rank inside the part."""
+    parted = _spread(df, value)
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(value, *tie))
+    return (parted.withColumn("_inner", inner).join(_part_offsets(parted, F.lit(1)), "_part")
+            .withColumn(name, F.col("_before") + F.col("_inner")).drop("_part", "_inner", "_before"))
+
+
+def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Mid-rank of each value over the whole table (ties share the mean of their ranks)."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_ties"))
+    parted = _spread(counts, value)
+    inner = F.sum("_ties").over(Window.partitionBy("_part").orderBy(value))
+    ranks = (parted.withColumn("_upto", inner).join(_part_offsets(parted, F.col("_ties")), "_part")
+             .select(value, (F.col("_before") + F.col("_upto") - (F.col("_ties") - 1) / F.lit(2.0)).alias(name)))
+    return df.join(ranks, value)
+
+
 def rank_bins(df: DataFrame, value: str, n: int, tie: list[str], name: str = "bin") -> DataFrame:
-    """Equal-count bins of the rank, ties broken by `tie`: bin edges are linear in the rank 1..N."""
-    ranked = df.withColumn("_rn", global_rank(df, [F.col(value).asc(), *[F.col(t) for t in tie]]))
+    """Equal-count bins of the rank, ties broken by `tie`; bin edges are linear in the rank 1..N and the
+    first bin includes its left edge, as quantile cuts do."""
     total = df.agg(F.count(F.lit(1))).scalar()
-    # position in [0, n): the first bin includes its right edge, as quantile cuts do.
-    pos = (F.col("_rn") - 1) * n / F.greatest(total - 1, F.lit(1))
-    return ranked.withColumn(name, F.greatest(F.lit(1), F.ceil(pos)).cast("int")).drop("_rn")
+    pos = (F.col("_rn") - 1) * n / F.greatest(F.col("_n") - 1, F.lit(1))
+    return (global_rank(df, value, tie, "_rn").withColumn("_n", total)
+            .withColumn(name, F.greatest(F.lit(1), F.ceil(pos)).cast("int")).drop("_rn", "_n"))
 
 
-def global_rank(df: DataFrame, order: list[Column]) -> Column:
-    """Row number over a whole mart. Marts are bounded by zones, dates and labels, not by trips."""
-    return F.row_number().over(Window.orderBy(*order))
+def order_tiers(df: DataFrame, value: str, tie: list[str], labels: list[str], name: str = "tier") -> DataFrame:
+    """Tiers cut at the order statistics n/k, 2n/k, ... (0-based positions) of the value."""
+    ranked = global_rank(df.select(value, *tie), value, tie, "_rn")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    ranked = ranked.withColumn("_n", total)
+    k = len(labels)
+    cuts = ranked.agg(*[F.max(F.when(F.col("_rn") - 1 == F.floor(F.col("_n") * i / k), F.col(value))).alias(f"c{i}") for i in range(1, k)])
+    out, cond = df, None
+    for i, label in enumerate(labels[:-1], start=1):
+        out = out.withColumn(f"_c{i}", cuts.select(f"c{i}").scalar())
+        test = F.col(value) < F.col(f"_c{i}")
+        cond = F.when(test, label) if cond is None else cond.when(test, label)
+    return out.withColumn(name, cond.otherwise(labels[-1])).drop(*[f"_c{i}" for i in range(1, k)])
 
 
 def threshold_tiers(df: DataFrame, value: str, labels: list[str], name: str = "tier") -> DataFrame:
