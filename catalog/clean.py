@@ -352,11 +352,13 @@ def recurring(spark, d):
     return cal.recurring_dates(years)
 
 
-@register("venue_zone_bridge", "venue_id:str zone", """
-SELECT DISTINCT venue_id, zone FROM (SELECT venue_id, primary_zone AS zone FROM venues
-  UNION ALL SELECT venue_id, CAST(trim(unnest(string_split(buffer_zones, ','))) AS BIGINT) FROM venues) q""")
-def bridge(spark, d):
-    return T("venues")(spark, d).select("venue_id", F.explode(X.zone_set()).alias("zone"))
+@register("venue_pickups", "venue_id:str zone trips", """
+SELECT venue_id, zone, count(*) AS trips FROM (SELECT DISTINCT venue_id, zone FROM (SELECT venue_id, primary_zone AS zone FROM venues
+  UNION ALL SELECT venue_id, CAST(trim(unnest(string_split(buffer_zones, ','))) AS BIGINT) FROM venues) q) b JOIN fhvhv_trips f ON f.PULocationID = b.zone GROUP BY 1, 2""")
+def venue_pickups(spark, d):
+    bridge = T("venues")(spark, d).select("venue_id", F.explode(X.zone_set()).alias("zone"))
+    per_zone = T("fhvhv_trips")(spark, d).groupBy(F.col("PULocationID").alias("zone")).agg(F.count(F.lit(1)).alias("trips"))
+    return bridge.join(per_zone, "zone")
 
 
 @register("event_times_and_labels", "venue_id:str event_time:ts label:str year_start:date", """
@@ -383,11 +385,12 @@ def start_hours(spark, d):
     return o.groupBy("priority", X.hour_or_default("t", 13).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("zone_projection", "LocationID x:real y:real", """
-SELECT LocationID, lon * cos(radians(40.7)) * 1000 AS x, -lat * 1000 AS y FROM zones""")
+@register("point_projection", "c_custkey x:real y:real", """
+SELECT c_custkey, (-74.2 + (c_custkey * 71 % 1000) * 0.0005) * cos(radians(40.7)) * 1000 AS x, -(40.5 + (c_custkey * 53 % 1000) * 0.0004) * 1000 AS y FROM customer""")
 def projection(spark, d):
-    x, y = geo.plane_xy(F.col("lat"), F.col("lon"), 40.7, 1000.0)
-    return T("zones")(spark, d).select("LocationID", x.alias("x"), y.alias("y"))
+    k = F.col("c_custkey")
+    x, y = geo.plane_xy(F.lit(40.5) + (k * 53 % 1000) * F.lit(0.0004), F.lit(-74.2) + (k * 71 % 1000) * F.lit(0.0005), 40.7, 1000.0)
+    return T("customer")(spark, d).select("c_custkey", x.alias("x"), y.alias("y"))
 
 
 @register("hash_draws", "o_orderkey draw", "SELECT o_orderkey, CAST('0x' || substr(md5('7-' || CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) AS draw FROM orders")

@@ -58,9 +58,12 @@ cte("m_mile_bins", f"""SELECT {PROVIDER4} AS provider, CASE WHEN trip_miles < 1
   sum(base_passenger_fare) / nullif(sum(trip_miles), 0) AS fare_per_mile FROM complete_clean GROUP BY 1, 2, 3""")
 
 
-@register("ov_zones", "LocationID borough:str zone:str lat:real lon:real", "SELECT * FROM zones")
+@register("zone_dimension_trips", "LocationID borough:str zone:str lat:real lon:real trips", f"""
+SELECT z.*, coalesce(n, 0) AS trips FROM zones z LEFT JOIN (SELECT PULocationID, count(*) AS n FROM {F_} GROUP BY 1) c ON c.PULocationID = z.LocationID""")
 def q_zones(spark, d):
-    return T("zones")(spark, d)
+    from pyspark.sql import functions as F
+    counts = trips(spark, d).groupBy(F.col("PULocationID").alias("LocationID")).agg(F.count(F.lit(1)).alias("trips"))
+    return T("zones")(spark, d).join(counts, "LocationID", "left").fillna(0, ["trips"])
 
 
 @register("ov_trips", "l_orderkey l_linenumber provider:str pickup_datetime:ts", f"SELECT *, {PROVIDER4} AS provider FROM (SELECT DISTINCT * FROM raw_fhvhv) r")

@@ -84,12 +84,16 @@ SELECT d AS date, CAST(18 + dd % 4 AS INT) AS start_hour, concat('v', CAST(1 + (
 FROM """ + _CALENDAR + """
 WHERE dd % 6 = 0""",
     "way_vertices": """
-SELECT CAST(floor((n_nationkey + 25*k) / CAST(6 AS DOUBLE)) AS BIGINT) AS way_id,
-  (n_nationkey + 25*k) % 6 AS seq, (n_nationkey + 25*k) % 2 AS oneway,
-  CAST(40.5 AS DOUBLE) + ((n_nationkey + 25*k) % 17) * CAST(0.02 AS DOUBLE) AS lat,
-  CAST(-74.2 AS DOUBLE) + ((n_nationkey + 25*k) % 23) * CAST(0.02 AS DOUBLE) AS lon
-FROM {nation} CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10)) AS t(k)
-WHERE n_nationkey + 25*k + 1 <= 263""",
+SELECT l_orderkey AS way_id, l_linenumber AS seq, CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END AS oneway,
+  CASE l_orderkey % 5 WHEN 0 THEN 'footway' WHEN 1 THEN 'tertiary' WHEN 2 THEN 'primary' ELSE 'secondary_link' END AS highway,
+  CAST(40.5 AS DOUBLE) + (l_orderkey % 3) + (p*37 % 997) * CAST(0.0004 AS DOUBLE) AS lat,
+  CAST(-74.2 AS DOUBLE) + (p*61 % 991) * CAST(0.0005 AS DOUBLE) AS lon
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM {lineitem} GROUP BY 1, 2) v""",
+    "rings": """
+SELECT CAST(floor(c_custkey / CAST(8 AS DOUBLE)) AS BIGINT) AS ring_id, c_custkey % 8 AS seq,
+  (c_custkey * 7 % 50) * CAST(0.01 AS DOUBLE) + floor(c_custkey / CAST(8 AS DOUBLE)) % 100 + cos(c_custkey % 8 * CAST(0.7853981 AS DOUBLE)) * 3 AS x,
+  (c_custkey * 11 % 50) * CAST(0.01 AS DOUBLE) + floor(c_custkey / CAST(8 AS DOUBLE)) % 70 + sin(c_custkey % 8 * CAST(0.7853981 AS DOUBLE)) * 3 AS y
+FROM {customer}""",
 }
 TABLES["fhvhv_trips"] = "SELECT * FROM {trips} WHERE taxi_type = 'fhvhv'"
 TABLES["raw_fhvhv"] = """

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripmarts import lineage
 from tripmarts.functions import tails
 from tripmarts.operators.window import average_rank
 
@@ -150,6 +151,7 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation of mid-ranks."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    both = lineage.cut(both)  # ranked twice: do not replay the plan behind it
     ranked = average_rank(average_rank(both, "_x", "_rx"), "_y", "_ry")
     return finish(ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("r")), _r_p_value)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripmarts import lineage
 from tripmarts.functions.hashing import draw_index
 from tripmarts.operators.window import global_rank
 
@@ -36,7 +37,7 @@ def bootstrap_share_difference(daily: DataFrame, date: str, group: str, a: objec
         return F.sum(F.when(F.col(group) == g, F.col(c)))
 
     wide = daily.groupBy(date).agg(pick(a, success).alias("xa"), pick(a, total).alias("na"), pick(b, success).alias("xb"), pick(b, total).alias("nb"))
-    wide = wide.where("na is not null and nb is not null")
+    wide = lineage.cut(wide.where("na is not null and nb is not null"))  # one row per day, read several times below
     units = wide.join(number_units(wide, date), date)
     drawn = _replicates(wide, reps).join(units, "pos").groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("xa", "na", "xb", "nb")])
     diffs = drawn.withColumn("diff", F.col("xa") / F.col("na") - F.col("xb") / F.col("nb"))
@@ -46,6 +47,7 @@ def bootstrap_share_difference(daily: DataFrame, date: str, group: str, a: objec
 def bootstrap_quantile_difference(hist: DataFrame, date: str, segment: str, a: str, b: str, value: str, n: str,
                                   probs: dict[str, float], reps: int = 2000) -> DataFrame:
     """Percentile intervals of quantile differences, the same resampled days for both segments."""
+    hist = lineage.cut(hist.select(date, segment, value, n))
     units = number_units(hist, date)
     weights = _replicates(units, reps).groupBy("rep", "pos").agg(F.count(F.lit(1)).alias("_w"))
     placed = hist.join(units, date).select("pos", segment, value, n)
@@ -69,6 +71,7 @@ def _shuffled(units: DataFrame, reps: int, cols: list[str]) -> DataFrame:
 def permutation_correlation(df: DataFrame, key: str, x: str, y: str, reps: int = 20000) -> DataFrame:
     """Two-sided permutation p-value of Pearson's r."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = lineage.cut(rows)
     units = rows.join(number_units(rows, key), key)
     observed = units.agg(F.corr("x", "y")).scalar()
     shuffled = _shuffled(units, reps, ["y"]).select("rep", F.col("place").alias("pos"), F.col("y").alias("y_new"))
@@ -80,6 +83,7 @@ def permutation_correlation(df: DataFrame, key: str, x: str, y: str, reps: int =
 def permutation_group_difference(df: DataFrame, key: str, value: str, mask: str, reps: int = 20000) -> DataFrame:
     """Permutation p-value of mean(value | mask) - mean(value | not mask); the mask is shuffled."""
     rows = df.where(F.col(value).isNotNull() & F.col(mask).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.col(mask).alias("m"))
+    rows = lineage.cut(rows)
     units = rows.join(number_units(rows, key), key)
 
     def gap(m: str) -> Column:

@@ -30,13 +30,16 @@ def _cell(c: str, size: float) -> Column:
     return F.floor(F.col(c) / F.lit(size)).cast("bigint")
 
 
-def nearest(points: DataFrame, key: str, targets: DataFrame, start_deg: float = 0.005, growth: int = 4) -> DataFrame:
-    """Distance in metres from each point to the nearest target, exact and without pairing everything.
+def nearest(points: DataFrame, key: str, targets: DataFrame, target_id: str | None = None, start_deg: float = 0.005, growth: int = 4) -> DataFrame:
+    """Distance in metres from each point to the nearest target (and its id; the smaller id wins a tie),
+    exact and without pairing everything.
 
     A point meets the targets of its 3 x 3 cells. Every other target is at least one cell away, so a hit
     inside that distance is final. Points without one go to a coarser grid, where few are left.
     """
-    places = targets.select(F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")).distinct()
+    tid = F.col(target_id) if target_id else F.lit(0)
+    places = targets.groupBy(F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")).agg(F.min(tid).alias("t_id"))
+    found = [key, "dist_m"] + (["target"] if target_id else [])
     waiting = points.select(key, "lat", "lon")
     done, size = None, start_deg
     while True:
@@ -45,14 +48,14 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, start_deg: float =
         asked = (waiting.withColumns({"_cy": _cell("lat", size), "_cx": _cell("lon", size)}).select(key, "lat", "lon", around.alias("g"))
                  .select(key, "lat", "lon", "g.gy", "g.gx"))
         grid = places.withColumns({"gy": _cell("t_lat", size), "gx": _cell("t_lon", size)})
-        hits = asked.join(grid, ["gy", "gx"]).groupBy(key).agg(
-            F.min(haversine_m(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))).alias("dist_m"))
+        d = haversine_m(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))
+        hits = asked.join(grid, ["gy", "gx"]).groupBy(key).agg(F.min(F.struct(d.alias("dist_m"), F.col("t_id").alias("target"))).alias("_hit")).select(key, "_hit.*")
         # Shortest possible way out of the 3 x 3 block: one cell of longitude at the outer latitude, with slack for the curve.
         outer = F.least(F.abs(F.col("lat")) + 2 * size, F.lit(89.0))
         safe = F.lit(0.98 * size * METRES_PER_DEGREE) * F.cos(F.radians(outer))
         last = size >= 360
         tried = lineage.cut(waiting.join(hits, key, "left").withColumn("_final", F.lit(last) | F.coalesce(F.col("dist_m") <= safe, F.lit(False))))
-        final = tried.where("_final").select(key, "dist_m")
+        final = tried.where("_final").select(*found)
         done = final if done is None else done.unionByName(final)
         waiting = tried.where("not _final").select(key, "lat", "lon")
         if last or waiting.isEmpty():

@@ -115,7 +115,7 @@ def order_tiers(df: DataFrame, value: str, tie: list[str], labels: list[str], na
     out, cond = df, None
     for i, label in enumerate(labels[:-1], start=1):
         out = out.withColumn(f"_c{i}", cuts.select(f"c{i}").scalar())
-        test = F.col(value) < F.col(f"_c{i}")
+        test = F.col(value) <= F.col(f"_c{i}")
         cond = F.when(test, label) if cond is None else cond.when(test, label)
     return out.withColumn(name, cond.otherwise(labels[-1])).drop(*[f"_c{i}" for i in range(1, k)])
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripmarts import lineage
 from tripmarts.functions import trip as X
 from tripmarts.operators.quantile import hist_mean, hist_quantile
 from tripmarts.operators.rollup import rows
@@ -63,7 +64,7 @@ def event_impact(events: DataFrame, venues: DataFrame, trips: DataFrame, exclude
     """Lift of each window against the mean of same-weekday days that are no other event's date; the mean is at
     least 1. By default an event's own day belongs to its baseline and windows stop at midnight."""
     zones = venue_zones(venues)
-    hourly = zone_hourly(trips, zones)
+    hourly = lineage.cut(zone_hourly(trips, zones))  # venue zones x hours, read by days and by windows: scan the trips once
     days = hourly.select("d").distinct()
     if cross_midnight:
         hourly = _spill_midnight(hourly)
@@ -118,8 +119,8 @@ def event_timelapse(trips: DataFrame, events: DataFrame, venues: DataFrame, min_
                .join(zones.select("zone").distinct(), "zone", "left_semi").groupBy("d", "hr", "zone").agg(rows().alias("trips")))
     dates = events.select("venue_id", F.col("date").alias("d"), F.lit(True).alias("_event")).distinct()
     enough = dates.groupBy("venue_id").agg(rows().alias("_n")).where(F.col("_n") >= min_days).select("venue_id")
-    rows_ = (pickups.join(zones.join(enough, "venue_id", "left_semi"), "zone").join(dates, ["venue_id", "d"], "left")
-             .withColumns({"_event": F.coalesce("_event", F.lit(False)), "dow": X.dow_sunday0("d")}))
+    rows_ = lineage.cut(pickups.join(zones.join(enough, "venue_id", "left_semi"), "zone").join(dates, ["venue_id", "d"], "left")
+                         .withColumns({"_event": F.coalesce("_event", F.lit(False)), "dow": X.dow_sunday0("d")}))
     evt = rows_.where("_event").groupBy("venue_id", "hr", "zone").agg(F.avg("trips").alias("evt"))
     event_dows = rows_.where("_event").select("venue_id", "dow").distinct()
     base = (rows_.where("not _event").groupBy("venue_id", "hr", "zone", "dow").agg(F.avg("trips").alias("base"))
@@ -157,10 +158,11 @@ def event_case(trips: DataFrame, events: DataFrame, venues: DataFrame) -> DataFr
     """Per event day, venue and hour: waits by request hour and pickups by pickup hour, against the venue's
     same-weekday days without an event. A single case is the same call on a filtered calendar."""
     zones = venue_zones(venues)
-    local = wait_histogram(trips, zones).join(zones, "zone")
+    local = lineage.cut(wait_histogram(trips, zones)).join(zones, "zone")
     pickups = (trips.where(X.known_license()).select(X.day_of("pickup_datetime").alias("d"), F.hour("pickup_datetime").alias("hr"),
                                                      F.col("PULocationID").cast("bigint").alias("zone"))
                .join(zones, "zone").groupBy("venue_id", "d", "hr").agg(rows().alias("pickups")).withColumn("dow", X.dow_sunday0("d")))
+    pickups = lineage.cut(pickups)
     dates = _venue_dates(events)
     base = _wait_stats(local.join(dates, ["venue_id", "d"], "left_anti"), ["venue_id", "dow", "hr"], "base_")
     base_pu = pickups.join(dates, ["venue_id", "d"], "left_anti").groupBy("venue_id", "dow", "hr").agg(F.avg("pickups").alias("base_pickups"))
@@ -173,7 +175,7 @@ def event_case(trips: DataFrame, events: DataFrame, venues: DataFrame) -> DataFr
 def event_zone_delta(trips: DataFrame, events: DataFrame, venues: DataFrame, hours: tuple[int, int] = (22, 24)) -> DataFrame:
     """Change of a zone's median wait (minutes) on event days in the late hours."""
     zones = venue_zones(venues)
-    local = wait_histogram(trips, zones).where((F.col("hr") >= hours[0]) & (F.col("hr") < hours[1])).join(zones, "zone")
+    local = lineage.cut(wait_histogram(trips, zones)).where((F.col("hr") >= hours[0]) & (F.col("hr") < hours[1])).join(zones, "zone")
     dates = _venue_dates(events)
     base = _wait_stats(local.join(dates, ["venue_id", "d"], "left_anti"), ["venue_id", "zone", "dow"], "base_")
     evt = _wait_stats(local.join(dates, ["venue_id", "d"], "left_semi"), ["venue_id", "zone", "d", "dow"])
@@ -184,7 +186,7 @@ def event_zone_delta(trips: DataFrame, events: DataFrame, venues: DataFrame, hou
 def event_wait_vs_baseline(trips: DataFrame, events: DataFrame, venues: DataFrame, impact: DataFrame) -> DataFrame:
     """One row per event: waits in the hours after it and on the venue's ordinary same-weekday days."""
     zones = venue_zones(venues)
-    local = wait_histogram(trips, zones).join(_slots(events, zones), "zone").where(_in_window("post"))
+    local = lineage.cut(wait_histogram(trips, zones)).join(_slots(events, zones), "zone").where(_in_window("post"))
     keys = ["venue_id", "start_hour"]
     base = _wait_stats(local.join(_venue_dates(events), ["venue_id", "d"], "left_anti"), [*keys, "dow"], "base_")
     own = _wait_stats(local, [*keys, "d", "dow"]).withColumnRenamed("d", "date").withColumnRenamed("n", "n_wait")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripmarts import lineage
 from tripmarts.functions import trip as X
 from tripmarts.operators.quantile import approx_quantile, exact_quantiles, hist_mean, hist_quantile
 from tripmarts.operators.rollup import count_if, dominant, pivot_sum, ratio, rollup_sets, rows
@@ -63,6 +64,7 @@ def provider_peek(by_aggregator: DataFrame) -> DataFrame:
 
 
 def wait_marts(base: DataFrame) -> dict[str, DataFrame]:
+    base = lineage.cut(base)  # six marts, one scan of the trips
     return {"zone_wait_time": zone_wait_time(base), "zone_wait_by_period": zone_wait_by_period(base),
             "zone_wait_by_aggregator": zone_wait_by_aggregator(base), "zone_wait_by_period_agg": zone_wait_cube(base),
             "wait_by_hour_dow": wait_by_hour_dow(base), "wait_by_hour_dow_aggregator": wait_by_hour_dow(base, True)}
@@ -275,7 +277,7 @@ def ramp_position(df: DataFrame, value: str, by: list[str], lo: float = .05, hi:
 def zone_metric_matrix(cube: DataFrame, zones: DataFrame, min_n: int = 50) -> DataFrame:
     """zone x period x provider medians, hidden below min_n trips, with the ramp position among visible cells."""
     shown = F.when(F.col("n_trips") >= min_n, F.col("med_wait_sec"))
-    cells = cube.withColumn("shown_wait_sec", shown)
+    cells = lineage.cut(cube.withColumn("shown_wait_sec", shown))
     dom = cells.where("shown_wait_sec is not null").groupBy("period", "aggregator").agg(
         F.percentile("shown_wait_sec", F.lit(.05)).alias("lo"), F.percentile("shown_wait_sec", F.lit(.95)).alias("hi"))
     return (cells.join(_zone_names(zones), "zone", "left").join(dom, ["period", "aggregator"], "left")
