@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmarts import lineage
+from tripmarts.functions import tails
 from tripmarts.functions.hashing import draw, draw_unit
 from tripmarts.operators import linear as L
+from tripmarts.operators.hypothesis import finish
 from tripmarts.operators.resample import number_units
+from tripmarts.operators.rollup import correlation
 from tripmarts.operators.window import demean
 
 
@@ -26,7 +29,6 @@ def _shuffle_column(df: DataFrame, key: str, column: str, seed: int) -> DataFram
     # Position by hash order: rank of the draw, spread over parts by its leading bits.
     hashed = placed.select(F.col(column).alias("_moved"), draw(seed, F.col("pos")).alias("_h"), "pos").withColumn("_t", total)
     parts = 64
-    from pyspark.sql import Window
     part = F.floor(F.col("_h") / (2 ** 32 / parts)).cast("int")
     parted = hashed.withColumn("_part", part)
     before = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).select(
@@ -54,7 +56,7 @@ def adjusted_effect(df: DataFrame, treatment: str, outcome: str, adjust: list[st
     x = [treatment, *[a for a in adjust if a != treatment]]
     fits = L.fit(rows, outcome, x, categories, by=by)
     naive = {str(r["g"]): r["r"] for r in rows.groupBy((F.col(by) if by else F.lit("all")).alias("g")).agg(
-        F.corr(F.col(treatment).cast("double"), F.col(outcome).cast("double")).alias("r")).limit(L.MAX_TERMS).collect()}
+        correlation(treatment, outcome).alias("r")).limit(L.MAX_TERMS).collect()}
     extra: dict[str, dict[str, float]] = {g: {} for g in fits}
     tests = {"placebo": lambda: _shuffle_column(rows, key, treatment, seed) if "placebo" in refute else None,
              "random_cause": lambda: rows.withColumn("_noise", draw_unit(seed, F.col(key))) if "random_cause" in refute else None,
@@ -156,8 +158,6 @@ def dummy_fixed_effects(panel: DataFrame, unit: str, time: str, treatment: str,
     ate = F.try_divide(F.col("ty"), F.col("tt"))
     df_resid = F.col("n") - F.col("units") - F.col("times")
     out = s.select("n", "units", "times", ate.alias("ate"), F.sqrt(F.try_divide((F.col("yy") - ate * F.col("ty")) / df_resid, F.col("tt"))).alias("se"), df_resid.alias("df_resid"))
-    from tripmarts.functions import tails
-    from tripmarts.operators.hypothesis import finish
     return finish(out.withColumn("t", F.try_divide(F.col("ate"), F.col("se"))), lambda r: {"p_value": tails.t_two_sided(r["t"], r["df_resid"])})
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tripmarts import lineage
 from tripmarts.functions import tails
+from tripmarts.operators.rollup import correlation
 from tripmarts.operators.window import average_rank
 
 MAX_RESULT_ROWS = 1000
@@ -145,7 +146,7 @@ def _r_p_value(r: dict) -> dict:
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return finish(both.agg(F.count(F.lit(1)).alias("n"), F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r")), _r_p_value)
+    return finish(both.agg(F.count(F.lit(1)).alias("n"), correlation(x, y).alias("r")), _r_p_value)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -153,7 +154,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     both = lineage.cut(both)  # ranked twice: do not replay the plan behind it
     ranked = average_rank(average_rank(both, "_x", "_rx"), "_y", "_ry")
-    return finish(ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("r")), _r_p_value)
+    return finish(ranked.agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("r")), _r_p_value)
 
 
 def histogram_cdf(hist: DataFrame, segment: str, value: str, n: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripmarts.functions import trip as X
 from tripmarts.operators.quantile import exact_quantiles
-from tripmarts.operators.rollup import count_if
+from tripmarts.operators.rollup import correlation, count_if
 
 
 def anomaly_checks() -> dict[str, Column]:
@@ -102,7 +102,7 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pairwise Pearson r of numeric columns, one aggregate for all pairs."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     num = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    wide = num.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    wide = num.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])
     return wide.select(F.explode(rows).alias("p")).select("p.a", "p.b", "p.r")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tripmarts import lineage
 from tripmarts.functions.hashing import draw_index
+from tripmarts.operators.rollup import correlation
 from tripmarts.operators.window import global_rank
 
 
@@ -73,9 +74,9 @@ def permutation_correlation(df: DataFrame, key: str, x: str, y: str, reps: int =
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     rows = lineage.cut(rows)
     units = rows.join(number_units(rows, key), key)
-    observed = units.agg(F.corr("x", "y")).scalar()
+    observed = units.agg(correlation("x", "y")).scalar()
     shuffled = _shuffled(units, reps, ["y"]).select("rep", F.col("place").alias("pos"), F.col("y").alias("y_new"))
-    rs = shuffled.join(units.select("pos", "x"), "pos").groupBy("rep").agg(F.corr("x", "y_new").alias("r")).withColumn("obs", observed)
+    rs = shuffled.join(units.select("pos", "x"), "pos").groupBy("rep").agg(correlation("x", "y_new").alias("r")).withColumn("obs", observed)
     # A replicate equal to the observation up to rounding counts as at least as extreme.
     return rs.agg(F.max("obs").alias("r"), F.avg(F.when(F.abs("r") >= F.abs("obs") - 1e-12, 1.0).otherwise(0.0)).alias("p_value"))
 

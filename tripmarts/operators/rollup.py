@@ -32,6 +32,14 @@ def pct(part: Column, whole: Column) -> Column:
     return ratio(part, whole) * 100
 
 
+def correlation(x, y) -> Column:
+    """Pearson r over rows where both are present; NULL when either side is constant."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = a.cast("double"), b.cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def rollup_sets(df: DataFrame, keys: list[str], sets: list[list[str]], measures: list[Column],
                 all_label: dict[str, str] | None = None) -> DataFrame:
     """GROUPING SETS in one pass; a key aggregated away shows its label (NULL when it has none)."""

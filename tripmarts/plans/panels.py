@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmarts.functions import trip as X
-from tripmarts.operators.rollup import pivot_sum, ratio, rows, top_n
+from tripmarts.operators.rollup import correlation, pivot_sum, ratio, rows, top_n
 from tripmarts.operators.window import share, year_before
 
 Marts = dict[str, DataFrame]
@@ -171,7 +171,7 @@ def event_kpis(m: Marts, event_types: list[str] | None = None) -> DataFrame:
     """Mean lifts and count of the chosen events; correlation of price tier and lift over all events."""
     kpi = chosen(m["event_impact"], "event_type", event_types).agg(
         F.avg("post_pu_lift_pct").alias("avg_post_pu"), F.avg("pre_do_lift_pct").alias("avg_pre_do"), rows().alias("n_events"))
-    r = m["event_hypothesis"].agg(F.corr(F.col("price_tier").cast("double"), "post_pu_lift_pct")).scalar()
+    r = m["event_hypothesis"].agg(correlation("price_tier", "post_pu_lift_pct")).scalar()
     return kpi.withColumn("price_lift_r", r)
 
 
@@ -220,7 +220,6 @@ def kpis_yoy(m: Marts, providers: list[str] | None = None) -> DataFrame:
 @_panel
 def bookings_ytd(m: Marts) -> DataFrame:
     """Gross bookings from January to each month, with change against the year before."""
-    from pyspark.sql import Window
     monthly = m["trips_monthly_provider"].groupBy("month").agg(F.sum("bookings").alias("bookings"))
     ytd = monthly.withColumn("ytd", F.sum("bookings").over(Window.partitionBy(F.year("month")).orderBy("month")))
     out = year_before(ytd, [], "month", ["ytd"])
@@ -281,7 +280,7 @@ def revenue_concentration(m: Marts, n: int = 10) -> DataFrame:
 @_panel
 def weather_correlations(m: Marts) -> DataFrame:
     d = m["trips_daily"].groupBy("date").agg(F.sum("trips").cast("double").alias("trips"), ratio(F.sum("base_passenger_fare_sum"), F.sum("trips")).alias("avg_fare"))
-    return d.join(m["weather_daily"], "date").agg(F.corr("prcp_mm", "trips").alias("rain_trips_r"), F.corr("tmax_c", "avg_fare").alias("temp_fare_r"))
+    return d.join(m["weather_daily"], "date").agg(correlation("prcp_mm", "trips").alias("rain_trips_r"), correlation("tmax_c", "avg_fare").alias("temp_fare_r"))
 
 
 @_panel
