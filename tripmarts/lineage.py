@@ -24,3 +24,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise on reliable storage, so a lost executor does not replay earlier rounds."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, visible to every executor."""
+    import uuid
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
