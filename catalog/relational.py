@@ -121,13 +121,14 @@ def q_year_before(spark, d):
 # --- feeds -------------------------------------------------------------------------------------------------------
 
 def schedule_payload(spark, d):
-    """Schedule documents, one per day, built from the orders: customers are teams."""
+    """Schedule documents of a day, built from the orders: customers are teams."""
     o = T("orders")(spark, d)
     team = lambda k: F.struct(F.struct(k.alias("id"), F.concat(F.lit("T"), k.cast("string")).alias("name")).alias("team"))
     game = F.struct(F.date_format(F.timestamp_add("SECOND", F.col("o_orderkey") % 86400, F.col("o_orderdate").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("gameDate"),
                     F.when(F.col("o_orderkey") % 9 == 0, "P").otherwise("R").alias("gameType"),
                     F.struct(team(F.col("o_custkey") % 30).alias("home"), team(F.col("o_orderkey") % 30).alias("away")).alias("teams"))
-    games = o.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.collect_list(game).alias("games"))
+    # At most 64 order keys share a document, so no document grows with the data.
+    games = o.groupBy(F.to_date("o_orderdate").alias("day"), F.floor(F.col("o_orderkey") / 64).alias("doc")).agg(F.collect_list(game).alias("games"))
     return games.select(F.to_json(F.struct(F.array(F.struct("games")).alias("dates"))).alias("payload"))
 
 
@@ -177,7 +178,7 @@ def q_combined(spark, d):
 def q_stations(spark, d):
     s = T("stations")(spark, d)
     entry = F.struct(F.col("station_id").cast("string").alias("key"), F.array(F.col("lat").cast("string"), F.col("lon").cast("string"), "station_name").alias("value"))
-    docs = s.groupBy((F.col("station_id") % 10).alias("doc")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("payload"))
+    docs = s.groupBy(F.floor(F.col("station_id") / 50).alias("doc")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("payload"))
     return RD.parse_stations(docs, "payload")
 
 

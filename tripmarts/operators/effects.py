@@ -144,16 +144,16 @@ def within_effect(panel: DataFrame, unit: str, time: str, treatment: str, outcom
 def dummy_fixed_effects(panel: DataFrame, unit: str, time: str, treatment: str, outcome: str, rounds: int = 50, tol: float = 1e-12) -> DataFrame:
     """The estimate of unit and time dummies without building them: demean both ways until the means vanish.
     Each round is one aggregate per direction on a panel of units x periods."""
-    rows = lineage.cut(panel.select(unit, time, F.col(treatment).cast("double").alias("t"), F.col(outcome).cast("double").alias("y")).dropna())
+    rows = lineage.cut(panel.select(unit, time, F.col(treatment).cast("double").alias("_t"), F.col(outcome).cast("double").alias("_y")).dropna())
     for _ in range(rounds):
         for keys in (unit, time):
-            means = rows.groupBy(keys).agg(F.avg("t").alias("_mt"), F.avg("y").alias("_my"))
-            rows = rows.join(means, keys).select(unit, time, (F.col("t") - F.col("_mt")).alias("t"), (F.col("y") - F.col("_my")).alias("y"))
+            means = rows.groupBy(keys).agg(F.avg("_t").alias("_mt"), F.avg("_y").alias("_my"))
+            rows = rows.join(means, keys).select(unit, time, (F.col("_t") - F.col("_mt")).alias("_t"), (F.col("_y") - F.col("_my")).alias("_y"))
         rows = lineage.cut(rows)
-        left = rows.groupBy(unit).agg(F.avg("t").alias("t"), F.avg("y").alias("y")).agg(F.max(F.greatest(F.abs("t"), F.abs("y")))).first()[0]
+        left = rows.groupBy(unit).agg(F.avg("_t").alias("_t"), F.avg("_y").alias("_y")).agg(F.max(F.greatest(F.abs("_t"), F.abs("_y")))).first()[0]
         if left is None or left < tol:
             break
-    s = rows.agg(F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("t") * F.col("y")).alias("ty"), F.sum(F.col("y") * F.col("y")).alias("yy"),
+    s = rows.agg(F.sum(F.col("_t") * F.col("_t")).alias("tt"), F.sum(F.col("_t") * F.col("_y")).alias("ty"), F.sum(F.col("_y") * F.col("_y")).alias("yy"),
                  F.count(F.lit(1)).alias("n"), F.count_distinct(unit).alias("units"), F.count_distinct(time).alias("times"))
     ate = F.try_divide(F.col("ty"), F.col("tt"))
     df_resid = F.col("n") - F.col("units") - F.col("times")

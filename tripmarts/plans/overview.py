@@ -18,7 +18,7 @@ UBER_LYFT = ["HV0003", "HV0005"]
 
 def trips(raw: DataFrame) -> DataFrame:
     """Distinct trips with the provider name."""
-    return raw.distinct().withColumn("provider", X.provider())
+    return C.drop_exact_duplicates(raw).withColumn("provider", X.provider())
 
 
 def trips_daily(trips: DataFrame) -> DataFrame:
