@@ -13,7 +13,7 @@ WAIT_SQL = "median(wait_sec) AS med_wait_sec, avg(wait_sec) AS avg_wait_sec, cou
 
 
 def base(spark, d):
-    return M.wait_base(C.wait_trips(T("fhvhv_trips")(spark, d)))
+    return M.wait_rows(C.wait_trips(T("fhvhv_trips")(spark, d)))
 
 
 def all_trips(spark, d):
@@ -32,6 +32,20 @@ def by_borough(spark, d):
     return M.daily_by_borough(T("fhvhv_trips")(spark, d), T("zones")(spark, d))
 
 
+@register("wait_marts_from_one_base", "mart:str rows", """
+SELECT 'zone_wait_time' AS mart, count(DISTINCT zone) AS rows FROM waits UNION ALL SELECT 'zone_wait_by_aggregator', count(DISTINCT (zone, aggregator)) FROM waits
+UNION ALL SELECT 'wait_by_hour_dow', count(DISTINCT (hr, dow)) FROM waits UNION ALL SELECT 'wait_by_hour_dow_aggregator', count(DISTINCT (hr, dow, aggregator)) FROM waits
+UNION ALL SELECT 'zone_wait_by_period', count(DISTINCT zone) + count(DISTINCT (zone, period)) FROM waits
+UNION ALL SELECT 'zone_wait_by_period_agg', count(DISTINCT zone) + count(DISTINCT (zone, period)) + count(DISTINCT (zone, aggregator)) + count(DISTINCT (zone, period, aggregator)) FROM waits""")
+def wait_marts(spark, d):
+    marts = M.wait_marts(M.wait_base(C.wait_trips(T("fhvhv_trips")(spark, d))))
+    out = None
+    for name, df in marts.items():
+        one = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("mart", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("zone_wait_time", f"zone {WAIT}", f"SELECT zone, {WAIT_SQL} FROM waits GROUP BY 1")
 def zone_wait_time(spark, d):
     return M.zone_wait_time(base(spark, d))

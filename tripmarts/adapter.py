@@ -118,21 +118,34 @@ SELECT originating_base_num AS dispatching_base_num, pickup_datetime, dropoff_da
 FROM {trips} WHERE taxi_type = 'fhv'"""
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+# The fact table behind the trips.
+SPREAD = ["lineitem"]
+
+
+def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base table. A file with fewer splits than the cluster has cores is spread out once, before the work on
+    it; a large table already has more splits than cores and is left alone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in SPREAD and df.rdd.getNumPartitions() < cores else df
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table, or one of the derived trip-shaped tables."""
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(_expand(name, sf_dir))
+    text = _expand(name)
+    return spark.sql(text, **{b: scan(spark, sf_dir, b) for b in BASE if "{" + b + "}" in text})
 
 
-def _expand(name: str, sf_dir: str) -> str:
-    """SQL of a derived table with every token replaced by a file or a nested query."""
-    tokens = {b: f"parquet.`{sf_dir}/{b}.parquet`" for b in BASE}
+def _expand(name: str) -> str:
+    """SQL of a derived table with nested tables spelled out; tokens of base tables stay."""
+    text = TABLES[name]
     for other in TABLES:
-        if "{" + other + "}" in TABLES[name]:
-            tokens[other] = f"({_expand(other, sf_dir)})"
-    return TABLES[name].format(**tokens)
+        token = "{" + other + "}"
+        if token in text:
+            text = text.replace(token, f"({_expand(other)})")
+    return text
 
 
 def family(spark: SparkSession, sf_dir: str, taxi_type: str) -> DataFrame:

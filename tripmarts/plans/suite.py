@@ -24,6 +24,12 @@ def wait_base(waits: DataFrame) -> DataFrame:
     return waits.groupBy("zone", "aggregator", "period", "hr", "dow", "wait_sec").agg(rows().alias("n"))
 
 
+def wait_rows(waits: DataFrame) -> DataFrame:
+    """The waits in the shape of the base, one row per trip: for building a single mart, whose own first
+    grouping then makes the histogram at the mart's grain."""
+    return waits.withColumn("n", F.lit(1).cast("bigint"))
+
+
 def _wait_measures() -> list[Column]:
     return [hist_quantile("wait_sec", 0.5).alias("med_wait_sec"), hist_mean("wait_sec").alias("avg_wait_sec"), F.sum("n").alias("n_trips")]
 
@@ -204,24 +210,38 @@ def north_star(all_trips: DataFrame) -> DataFrame:
         F.sum("trips").alias("trips"), rows().alias("n_days"), ratio(F.sum("trips"), rows()).alias("avg_daily_trips"))
 
 
-def wait_and_pay(fhvhv: DataFrame, exact: bool = True) -> DataFrame:
-    """Median and p90 wait, median hourly pay and median pay per trip, by year."""
+def _metrics(fhvhv: DataFrame) -> DataFrame:
+    """Per trip: year, guarded wait and the three continuous metrics whose yearly medians are reported."""
     wait = X.wait_seconds()
-    prepared = fhvhv.select(
+    return fhvhv.select(
         F.year("pickup_datetime").alias("year"),
         F.when((F.col("pickup_datetime") > F.col("request_datetime")) & (wait < 3600), wait).alias("wait_sec"),
-        X.hourly_pay().alias("hourly_pay"), F.when(F.col("trip_time") > 60, F.col("driver_pay")).alias("pay"))
+        X.hourly_pay().alias("med_hourly_pay"), F.when(F.col("trip_time") > 60, F.col("driver_pay")).alias("med_pay_per_trip"),
+        F.when(F.col("trip_miles") > 0.1, F.col("base_passenger_fare") / F.col("trip_miles")).alias("med_fare_per_mile"))
+
+
+def yearly_medians(fhvhv: DataFrame, metrics: list[str], exact: bool = True) -> DataFrame:
+    """Yearly medians of several metrics in one pass over a (year, metric, value) relation."""
+    rows_ = _metrics(fhvhv)
     if not exact:
-        return prepared.groupBy("year").agg(
-            approx_quantile("wait_sec", .5).alias("med_wait_sec"), approx_quantile("wait_sec", .9).alias("p90_wait_sec"),
-            approx_quantile("hourly_pay", .5).alias("med_hourly_pay"), approx_quantile("pay", .5).alias("med_pay_per_trip"))
-    years = prepared.groupBy("year").agg(rows().alias("_n")).select("year")
-    waits = (prepared.where("wait_sec is not null").groupBy("year", "wait_sec").agg(rows().alias("n")).groupBy("year")
-             .agg(hist_quantile("wait_sec", .5).alias("med_wait_sec"), hist_quantile("wait_sec", .9).alias("p90_wait_sec")))
-    out = years.join(waits, "year", "left")
-    for col, name in (("hourly_pay", "med_hourly_pay"), ("pay", "med_pay_per_trip")):
-        out = out.join(exact_quantiles(prepared, ["year"], col, {name: .5}), "year", "left")
-    return out
+        return rows_.groupBy("year").agg(*[approx_quantile(m, .5).alias(m) for m in metrics])
+    long = rows_.unpivot(["year"], metrics, "metric", "value").where("value is not null")
+    medians = exact_quantiles(long, ["year", "metric"], "value", {"p50": .5})
+    return medians.groupBy("year").agg(*[F.max(F.when(F.col("metric") == m, F.col("p50"))).alias(m) for m in metrics])
+
+
+def yearly_waits(fhvhv: DataFrame, exact: bool = True) -> DataFrame:
+    """Median and p90 wait by year; exact from a histogram of whole seconds."""
+    rows_ = _metrics(fhvhv).where("wait_sec is not null")
+    if not exact:
+        return rows_.groupBy("year").agg(approx_quantile("wait_sec", .5).alias("med_wait_sec"), approx_quantile("wait_sec", .9).alias("p90_wait_sec"))
+    return rows_.groupBy("year", "wait_sec").agg(rows().alias("n")).groupBy("year").agg(
+        hist_quantile("wait_sec", .5).alias("med_wait_sec"), hist_quantile("wait_sec", .9).alias("p90_wait_sec"))
+
+
+def wait_and_pay(fhvhv: DataFrame, exact: bool = True) -> DataFrame:
+    """Median and p90 wait, median hourly pay and median pay per trip, by year."""
+    return yearly_waits(fhvhv, exact).join(yearly_medians(fhvhv, ["med_hourly_pay", "med_pay_per_trip"], exact), "year", "full")
 
 
 def shared_match_by_year(fhvhv: DataFrame) -> DataFrame:
@@ -231,11 +251,7 @@ def shared_match_by_year(fhvhv: DataFrame) -> DataFrame:
 
 
 def fare_per_mile_by_year(fhvhv: DataFrame, exact: bool = True) -> DataFrame:
-    rows = fhvhv.where(F.col("trip_miles") > 0.1).select(
-        F.year("pickup_datetime").alias("year"), (F.col("base_passenger_fare") / F.col("trip_miles")).alias("fpm"))
-    if not exact:
-        return rows.groupBy("year").agg(approx_quantile("fpm", .5).alias("med_fare_per_mile"))
-    return exact_quantiles(rows, ["year"], "fpm", {"med_fare_per_mile": .5})
+    return yearly_medians(fhvhv, ["med_fare_per_mile"], exact)
 
 
 def liquidity_by_year(fhvhv: DataFrame) -> DataFrame:
@@ -248,7 +264,8 @@ def liquidity_by_year(fhvhv: DataFrame) -> DataFrame:
 
 def product_metrics_yearly(all_trips: DataFrame, fhvhv: DataFrame, exact: bool = True) -> DataFrame:
     out = north_star(all_trips)
-    for part in (wait_and_pay(fhvhv, exact), shared_match_by_year(fhvhv), fare_per_mile_by_year(fhvhv, exact), liquidity_by_year(fhvhv)):
+    medians = yearly_medians(fhvhv, ["med_hourly_pay", "med_pay_per_trip", "med_fare_per_mile"], exact)
+    for part in (yearly_waits(fhvhv, exact), medians, shared_match_by_year(fhvhv), liquidity_by_year(fhvhv)):
         out = out.join(part, "year", "left")
     return out
 
