@@ -56,7 +56,7 @@ def adjusted_effect(df: DataFrame, treatment: str, outcome: str, adjust: list[st
     x = [treatment, *[a for a in adjust if a != treatment]]
     fits = L.fit(rows, outcome, x, categories, by=by)
     naive = {str(r["g"]): r["r"] for r in rows.groupBy((F.col(by) if by else F.lit("all")).alias("g")).agg(
-        correlation(treatment, outcome).alias("r")).limit(L.MAX_TERMS).collect()}
+        correlation(treatment, outcome).alias("r")).collect()}  # as many rows as fits
     extra: dict[str, dict[str, float]] = {g: {} for g in fits}
     tests = {"placebo": lambda: _shuffle_column(rows, key, treatment, seed) if "placebo" in refute else None,
              "random_cause": lambda: rows.withColumn("_noise", draw_unit(seed, F.col(key))) if "random_cause" in refute else None,

@@ -236,6 +236,8 @@ def fit(df: DataFrame, y: str, x: list[str], categories: list[str] | None = None
     """Least squares per group of `by` (key "all" without one)."""
     keep = [c for c in (by, cluster, order) if c]
     data = prepare(df, [y, *x, *(categories or [])], keep)
+    if by is not None and data.select(by).distinct().limit(MAX_TERMS + 1).count() > MAX_TERMS:
+        raise ValueError(f"{by} has more than {MAX_TERMS} groups; fit them in several calls")
     dsg = design(data, x, categories, interact)
     fits = {g: solve(m, dsg.names()) for g, m in cross_products(data, dsg, y, by).items()}
     covariance(data, dsg, y, fits, cov, by, cluster, order, lags)
