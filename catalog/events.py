@@ -18,28 +18,34 @@ FULL OUTER JOIN (SELECT CAST(pickup_datetime AS DATE) AS d, hour(pickup_datetime
 cte("event_windows", """SELECT e.date, e.venue_id, e.event_type, e.title, e.start_hour, w.name AS win, e.start_hour + w.a AS h0, e.start_hour + w.b AS h1
 FROM event_calendar e CROSS JOIN (VALUES ('pre', -2, 0), ('event', 0, 3), ('post', 3, 5)) AS w(name, a, b)
 WHERE e.date IN (SELECT d FROM zone_hours)""")
-cte("event_observed", """SELECT w.date, w.venue_id, w.title, w.win, coalesce(sum(h.pu_trips), 0) AS pu, coalesce(sum(h.do_trips), 0) AS do_
-FROM event_windows w JOIN bridge b ON w.venue_id = b.venue_id LEFT JOIN zone_hours h ON h.zone = b.zone AND h.d = w.date AND h.hr >= w.h0 AND h.hr < w.h1
-GROUP BY 1, 2, 3, 4""")
+# Every hour also as hour + 24 of the day before.
+cte("zone_hours_spill", """SELECT d, hr, dow, zone, pu_trips, do_trips FROM zone_hours
+UNION ALL SELECT CAST(d - INTERVAL '1' DAY AS DATE), hr + 24, (dow + 6) % 7, zone, pu_trips, do_trips FROM zone_hours""")
+OBSERVED = """SELECT w.date, w.venue_id, w.title, w.win, coalesce(sum(h.pu_trips), 0) AS pu, coalesce(sum(h.do_trips), 0) AS do_
+FROM event_windows w JOIN bridge b ON w.venue_id = b.venue_id LEFT JOIN {hours} h ON h.zone = b.zone AND h.d = w.date AND h.hr >= w.h0 AND h.hr < w.h1
+GROUP BY 1, 2, 3, 4"""
+cte("event_observed", OBSERVED.format(hours="zone_hours"))
+cte("event_observed_spill", OBSERVED.format(hours="zone_hours_spill"))
 
 
-def _baseline(own):
+def _baseline(own, hours="zone_hours"):
     return f"""SELECT date, venue_id, title, win, greatest(avg(pu), 1.0) AS pu, greatest(avg(do_), 1.0) AS do_ FROM (
   SELECT w.date, w.venue_id, w.title, w.win, h.d, sum(h.pu_trips) AS pu, sum(h.do_trips) AS do_
-  FROM event_windows w JOIN bridge b ON w.venue_id = b.venue_id JOIN zone_hours h ON h.zone = b.zone AND h.dow = dayofweek(w.date) AND h.hr >= w.h0 AND h.hr < w.h1
+  FROM event_windows w JOIN bridge b ON w.venue_id = b.venue_id JOIN {hours} h ON h.zone = b.zone AND h.dow = dayofweek(w.date) AND h.hr >= w.h0 AND h.hr < w.h1
   WHERE {own} GROUP BY 1, 2, 3, 4, 5) q GROUP BY 1, 2, 3, 4"""
 
 
 cte("event_baseline", _baseline("(h.d = w.date OR h.d NOT IN (SELECT date FROM event_calendar))"))
+cte("event_baseline_spill", _baseline("(h.d = w.date OR h.d NOT IN (SELECT date FROM event_calendar))", "zone_hours_spill"))
 cte("event_baseline_other", _baseline("h.d NOT IN (SELECT date FROM event_calendar)"))
 
 
-def _impact(base):
+def _impact(base, observed="event_observed"):
     lifts = ", ".join(f"max(CASE WHEN w.win = '{w}' THEN 100.0 * (o.{c} / coalesce(b.{c}, 1.0) - 1) END) AS {w}_{s}_lift_pct"
                       for w in ("pre", "event", "post") for c, s in (("pu", "pu"), ("do_", "do")))
     return f"""SELECT w.date, w.venue_id, w.event_type, w.title, w.start_hour, {lifts},
   max(CASE WHEN w.win = 'post' THEN o.pu END) AS post_pu_trips, max(CASE WHEN w.win = 'post' THEN o.do_ END) AS post_do_trips
-FROM event_windows w JOIN event_observed o ON w.date = o.date AND w.venue_id = o.venue_id AND w.title = o.title AND w.win = o.win
+FROM event_windows w JOIN {observed} o ON w.date = o.date AND w.venue_id = o.venue_id AND w.title = o.title AND w.win = o.win
 LEFT JOIN {base} b ON w.date = b.date AND w.venue_id = b.venue_id AND w.title = b.title AND w.win = b.win GROUP BY 1, 2, 3, 4, 5"""
 
 
@@ -81,7 +87,7 @@ def q_impact_other(spark, d):
     return E.event_impact(*parts(spark, d), exclude_self=True)
 
 
-@register("event_impact_across_midnight", IMPACT)
+@register("event_impact_across_midnight", IMPACT, _impact("event_baseline_spill", "event_observed_spill"))
 def q_midnight(spark, d):
     return E.event_impact(*parts(spark, d), cross_midnight=True)
 
