@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from catalog.base import T, register
-from catalog.steps import PROVIDER4
 from tripmarts.operators import clean as C
 from tripmarts.plans import suite as M
 

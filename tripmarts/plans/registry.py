@@ -116,7 +116,7 @@ MARTS: dict[str, Mart] = {
     "wav_v2_date_hour": Mart(["date", "hour", "provider", "exact_segment", "accessibility_segment"], lambda i, m, s: A.date_hour(_core(i))),
     "wav_v2_monthly_metrics": Mart(["month", "provider", "accessibility_segment"], lambda i, m, s: A.monthly_metrics(_core(i))),
     "wav_v2_zone_metrics": Mart(["direction", "LocationID"], lambda i, m, s: A.zone_metrics(_core(i))),
-    "grafana_wait_hist_daily": Mart(["date", "segment", "wait_bin_min"], lambda i, m, s: A.wait_hist_daily(_core(i))),
+    "wait_hist_daily": Mart(["date", "segment", "wait_bin_min"], lambda i, m, s: A.wait_hist_daily(_core(i))),
     "event_impact": Mart(E.EVENT_KEYS, lambda i, m, s: E.event_impact(i.events, i.venues, i.fhvhv)),
     "event_impact_by_type": Mart(["event_type"], lambda i, m, s: E.impact_by_type(m("event_impact"))),
     "event_hypothesis": Mart(E.EVENT_KEYS, lambda i, m, s: E.event_hypothesis(m("event_impact"), i.venues, m("zone_distance"))),
