@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripmarts import lineage
-from tripmarts.llm import bpe, chat, decontaminate, pii, quality, simhash, token_counts, token_files, toxicity
+from tripmarts.llm import bpe, chat, decontaminate, pii, quality, search, simhash, token_counts, token_files, toxicity
 from tripmarts.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,34 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"), folds=3, held_out=1, threshold=0.5)
 
 
+#: Results for each query of op8.
+TOP = 10
+
+
+@query
+def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return search.top_k(docs, docs.where("doc_id % 100 = 0"), TOP)
+
+
+ORACLES["op8_search"] = rf"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+size AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+n AS (SELECT count(*) AS n, (SELECT sum(dl) FROM size) / CAST(count(*) AS DOUBLE) AS mean FROM documents),
+idf AS (SELECT term, ln(1 + (any_value(n.n) - count(*) + CAST(0.5 AS DOUBLE)) / (count(*) + CAST(0.5 AS DOUBLE))) AS idf FROM tf, n GROUP BY term),
+impact AS (
+  SELECT tf.doc_id, term, CAST(floor(idf * (CAST(tf AS DOUBLE) * CAST({search.K1 + 1} AS DOUBLE)
+    / (tf + CAST({search.K1} AS DOUBLE) * (CAST({1 - search.B} AS DOUBLE) + CAST({search.B} AS DOUBLE) * dl / mean))) * {search.UNIT} + CAST(0.5 AS DOUBLE)) AS BIGINT) AS units
+  FROM tf JOIN size USING (doc_id) JOIN idf USING (term), n),
+scores AS (
+  SELECT q.doc_id AS query_id, i.doc_id, CAST(sum(units) AS BIGINT) AS units
+  FROM tf AS q JOIN impact AS i USING (term) WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id) AS rank FROM scores)
+SELECT query_id, rank, doc_id, units / CAST({search.UNIT} AS DOUBLE) AS score FROM ranked WHERE rank <= {TOP}"""
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
