@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tripmarts.llm.common import fresh_name, id_and_text, map_columns
@@ -211,6 +212,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = id_and_text(docs, id_col, text_col)
     schema = StructType([rows.schema.fields[0], StructField(fresh_name([id_col], item_col), benchmark.schema[item_col].dataType), StructField("edits", LongType()),
                          StructField("passages", LongType()), StructField("end", LongType())])
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = docs.sparkSession.createDataFrame([], schema)
     for ids, passages in blocks(benchmark, item_col, text_col):
         shared = docs.sparkSession.sparkContext.broadcast((ids, passages))
@@ -221,7 +223,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 found = block.search([t or "" for t in batch.column(1).to_pylist()])
                 if found:
                     d, i, *rest = zip(*found, strict=True)
-                    item = pa.array([names[x] for x in i])
+                    item = pa.array([names[x] for x in i], item_type)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), item] + [pa.array(x, pa.int64()) for x in rest], names=schema.names)
 
         out = out.unionByName(rows.mapInArrow(run, schema))
