@@ -230,7 +230,7 @@ def written(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span replaced by its kind in angle brackets; overlapping spans become one, of the first one's kind.
+    """docs with each span replaced by its kind in angle brackets; overlapping spans become one, of the first (then longest) one's kind.
 
     Candidates are found once to fit the trees and again to redact, so no text is stored in between.
     """
@@ -240,7 +240,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     col, spans = fresh_name(taken, "candidates"), fresh_name(taken, "pii_spans")
     rows = docs.withColumn(col, candidates(text))
     good = F.filter(F.col(col), lambda c: c["valid"] | (tree_score(c, trees, start) >= F.element_at(F.array(*[F.lit(x) for x in least]), c["kind"] + 1)))
-    order = F.array_sort(F.transform(good, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    order = F.array_sort(F.transform(good, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["end"].alias("end"), c["kind"].alias("kind"))))
     rows = rows.withColumn(spans, order).drop(col)
     name = lambda k: F.element_at(F.array(*[F.lit(f"<{x}>") for x in KINDS]), k + 1)
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
