@@ -38,7 +38,7 @@ _OUT = {"yellow": "l_orderkey l_linenumber tpep_pickup_datetime:ts PULocationID
 for _f, _t in FAMILIES.items():
     # One row in seven is a copy in this raw table, so its rows are shuffled once instead of their hashes.
     register(f"clean_{_f}", _OUT[_f], f"SELECT * FROM clean_{_f}")(
-        lambda spark, d, f=_f, t=_t: C.clean(T(t)(spark, d), f, years=YEARS, by_hash=f != "fhvhv"))
+        lambda spark, d, f=_f, t=_t: C.clean(T(t)(spark, d), f, years=YEARS))
     register(f"validate_{_f}", "rows violations unknown", f"""
 SELECT count(*) AS rows, count(*) FILTER (WHERE NOT ({PRED[_f]})) AS violations, count(*) FILTER (WHERE ({PRED[_f]}) IS NULL) AS unknown FROM {_t}""")(
         lambda spark, d, f=_f, t=_t: C.validate(T(t)(spark, d), f, years=YEARS))
@@ -52,7 +52,7 @@ LEFT JOIN (SELECT source_month, count(*) AS clean_rows FROM clean_fhvhv GROUP BY
 
 def report(spark, d):
     raw = T("raw_fhvhv")(spark, d)
-    return C.removal_report(raw, C.clean(raw, "fhvhv", scope="source_month", by_hash=False), ["source_month"])
+    return C.removal_report(raw, C.clean(raw, "fhvhv", scope="source_month"), ["source_month"])
 
 
 @register("clean_report", "source_month:date raw_rows clean_rows removed removed_pct:real", REPORT)
@@ -218,11 +218,19 @@ def time_range(spark, d):
 
 @register("clipped_histogram", "bin n", """
 SELECT CAST(least(49, floor((x - lo) / ((hi - lo) / 50))) AS BIGINT) AS bin, count(*) AS n FROM (
-  SELECT x, hi, min(x) OVER () AS lo FROM (SELECT trip_distance AS x, quantile_cont(trip_distance, .99) OVER () AS hi FROM yellow_trips) q WHERE x <= hi) r GROUP BY 1""")
+  SELECT x, hi, min(x) OVER () AS lo FROM (SELECT least(trip_distance, hi) AS x, hi FROM (SELECT trip_distance, quantile_cont(trip_distance, .99) OVER () AS hi FROM yellow_trips) p) q) r GROUP BY 1""")
 def clipped(spark, d):
     return P.clipped_histogram(T("yellow_trips")(spark, d), "trip_distance")
 
 
+@register("clipped_histogram_money", "bin n", """
+SELECT CAST(least(49, floor((x - lo) / ((hi - lo) / 50))) AS BIGINT) AS bin, count(*) AS n FROM (
+  SELECT x, hi, min(x) OVER () AS lo FROM (SELECT least(greatest(v, 0), hi) AS x, hi FROM (
+    SELECT v, quantile_cont(v, .99) OVER () AS hi FROM (SELECT total_amount - 10 AS v FROM yellow_trips) o) p) q) r GROUP BY 1""")
+def clipped_low(spark, d):
+    return P.clipped_histogram(T("yellow_trips")(spark, d).withColumn("v", F.col("total_amount") - 10), "v", lower=0.0)
+
+
 @register("adhoc_anomalies", "n_trips zero_distance negative_fare zero_passengers long_trip same_zone negative_total reversed_time", """
 SELECT count(*) AS n_trips, count(*) FILTER (WHERE trip_distance = 0) AS zero_distance, count(*) FILTER (WHERE fare_amount < 0) AS negative_fare,
   count(*) FILTER (WHERE passenger_count = 0) AS zero_passengers, count(*) FILTER (WHERE date_diff('second', tpep_pickup_datetime, tpep_dropoff_datetime) > 5000) AS long_trip,

@@ -216,9 +216,9 @@ cte("boot_days", """SELECT *, row_number() OVER (ORDER BY date) - 1 AS pos FROM
 
 @register("bootstrap_share_difference", "diff_low:real diff_high:real", f"""
 SELECT quantile_cont(dd, .025) AS diff_low, quantile_cont(dd, .975) AS diff_high FROM (SELECT rep, 1.0 * sum(xa) / sum(na) - 1.0 * sum(xb) / sum(nb) AS dd
-FROM ({DRAWS.format(reps=1000, units='boot_days')}) x JOIN boot_days b ON b.pos = x.pos GROUP BY 1) q""")
+FROM ({DRAWS.format(reps=2000, units='boot_days')}) x JOIN boot_days b ON b.pos = x.pos GROUP BY 1) q""")
 def q_boot(spark, d):
-    return R.bootstrap_share_difference(A.peak_daily(access.cells(spark, d)), "date", "high_demand", True, False, "ordinary_wav_trips", "ordinary_trips", reps=1000)
+    return R.bootstrap_share_difference(A.peak_daily(access.cells(spark, d)), "date", "high_demand", True, False, "ordinary_wav_trips", "ordinary_trips")
 
 
 cte("hist_days", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM m_wait_hist) q")
@@ -229,10 +229,10 @@ SELECT quantile_cont(m, .025) AS p50_low, quantile_cont(m, .975) AS p50_high, qu
   SELECT rep, max(m) FILTER (WHERE segment = 'Инклюзивные') - max(m) FILTER (WHERE segment = 'Обычные') AS m, max(p) FILTER (WHERE segment = 'Инклюзивные') - max(p) FILTER (WHERE segment = 'Обычные') AS p FROM (
     SELECT rep, segment, min(CASE WHEN cum >= .5 * total THEN b END) AS m, min(CASE WHEN cum >= .95 * total THEN b END) AS p FROM (
       SELECT rep, segment, b, sum(n) OVER (PARTITION BY rep, segment ORDER BY b) AS cum, sum(n) OVER (PARTITION BY rep, segment) AS total FROM (
-        SELECT rep, segment, wait_bin_min AS b, sum(trips) AS n FROM ({DRAWS.format(reps=200, units='hist_days')}) x JOIN hist_days u ON u.pos = x.pos JOIN m_wait_hist h ON h.date = u.date GROUP BY 1, 2, 3) a) c
+        SELECT rep, segment, wait_bin_min AS b, sum(trips) AS n FROM ({DRAWS.format(reps=2000, units='hist_days')}) x JOIN hist_days u ON u.pos = x.pos JOIN m_wait_hist h ON h.date = u.date GROUP BY 1, 2, 3) a) c
     GROUP BY 1, 2) e GROUP BY 1) f""")
 def q_boot_q(spark, d):
-    return R.bootstrap_quantile_difference(hist(spark, d), "date", "segment", INC, ORD, "wait_bin_min", "trips", {"p50": .5, "p95": .95}, reps=200)
+    return R.bootstrap_quantile_difference(hist(spark, d), "date", "segment", INC, ORD, "wait_bin_min", "trips", {"p50": .5, "p95": .95})
 
 
 def weather_days(spark, d):
@@ -257,14 +257,16 @@ def q_pearson(spark, d):
     return Y.pearson(weather_days(spark, d), "taxi_anom", "tmax_c")
 
 
-SHUF = "SELECT rep, pos, row_number() OVER (PARTITION BY rep ORDER BY md5(CAST(rep AS VARCHAR) || '-' || CAST(pos AS VARCHAR)), pos) - 1 AS place FROM (SELECT unnest(range(0, 200)) AS rep) r CROSS JOIN (SELECT pos FROM weather_days) s"
+SHUF = f"""SELECT rep, pos, row_number() OVER (PARTITION BY rep ORDER BY (b * b + a * 12345) % {R.PRIME}, pos) - 1 AS place FROM (
+  SELECT rep, pos, a, (a * a % {R.PRIME} + rep * 31 + pos) % {R.PRIME} AS b FROM (
+    SELECT rep, pos, (rep * 1000003 + pos * 8191 + 17) % {R.PRIME} AS a FROM (SELECT unnest(range(0, 20000)) AS rep) r CROSS JOIN (SELECT pos FROM weather_days) s) t) u"""
 
 
 @register("permutation_correlation", "r:real p_value:real", f"""
 SELECT max(obs) AS r, avg(CASE WHEN abs(r) >= abs(obs) - 1e-12 THEN 1.0 ELSE 0.0 END) AS p_value FROM (SELECT rep, corr(a.prcp_mm, b.fhvhv_anom) AS r, (SELECT corr(prcp_mm, fhvhv_anom) FROM weather_days) AS obs
 FROM ({SHUF}) s JOIN weather_days a ON a.pos = s.place JOIN weather_days b ON b.pos = s.pos GROUP BY 1) q""")
 def q_perm(spark, d):
-    return R.permutation_correlation(weather_days(spark, d), "date", "prcp_mm", "fhvhv_anom", reps=200)
+    return R.permutation_correlation(weather_days(spark, d), "date", "prcp_mm", "fhvhv_anom")
 
 
 for _name, _cond in (("rain", "prcp_mm >= 1.0"), ("heavy_rain", "prcp_mm >= 8.0"), ("snow", "snow_mm > 0")):
@@ -273,4 +275,4 @@ SELECT max(obs) AS diff, avg(CASE WHEN abs(dd) >= abs(obs) - 1e-9 THEN 1.0 ELSE
   SELECT rep, avg(a.fhvhv_anom) FILTER (WHERE b.{_cond}) - avg(a.fhvhv_anom) FILTER (WHERE NOT b.{_cond}) AS dd,
     (SELECT avg(fhvhv_anom) FILTER (WHERE {_cond}) - avg(fhvhv_anom) FILTER (WHERE NOT {_cond}) FROM weather_days) AS obs
   FROM ({SHUF}) s JOIN weather_days a ON a.pos = s.place JOIN weather_days b ON b.pos = s.pos GROUP BY 1) q""")(
-        lambda spark, d, c=_cond: R.permutation_group_difference(weather_days(spark, d).withColumn("mask", F.expr(c)), "date", "fhvhv_anom", "mask", reps=200))
+        lambda spark, d, c=_cond: R.permutation_group_difference(weather_days(spark, d).withColumn("mask", F.expr(c)), "date", "fhvhv_anom", "mask"))

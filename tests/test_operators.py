@@ -93,7 +93,6 @@ def test_duplicates_by_hash_equal_distinct(spark):
     df = spark.createDataFrame(rows, "a int, b string, c double").repartition(6)
     want = sorted(df.distinct().collect(), key=repr)
     assert sorted(C.drop_exact_duplicates(df).collect(), key=repr) == want
-    assert sorted(C.drop_exact_duplicates(df, broadcast_rows=0).collect(), key=repr) == want
 
 
 def test_validation_counts_unknown_apart(spark):

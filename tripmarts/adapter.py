@@ -118,16 +118,9 @@ SELECT originating_base_num AS dispatching_base_num, pickup_datetime, dropoff_da
 FROM {trips} WHERE taxi_type = 'fhv'"""
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-# The fact table behind the trips.
-SPREAD = ["lineitem"]
-
-
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table. A file with fewer splits than the cluster has cores is spread out once, before the work on
-    it; a large table already has more splits than cores and is left alone."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in SPREAD and df.rdd.getNumPartitions() < cores else df
+    """A base table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -60,30 +60,17 @@ def predicate(family: str, years=YEARS) -> Column:
     return _all(list(rules(family, years).values()))
 
 
-def drop_exact_duplicates(df: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Equal rows once. Only row hashes are shuffled to find out which values occur more than once; rows with a
-    lone hash pass straight through and the few others are compared in full.
-
-    The repeated hashes are broadcast when their counted number allows it. Beyond that the table is mostly
-    duplicates and a plain distinct is the better plan.
-    """
-    hashed = df.withColumn("_row_hash", F.xxhash64(*df.columns))
-    repeated = lineage.cut(hashed.groupBy("_row_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_row_hash"))
-    if repeated.count() > broadcast_rows:
-        return df.distinct()
-    small = F.broadcast(repeated)
-    lone = hashed.join(small, "_row_hash", "left_anti").drop("_row_hash")
-    return lone.unionByName(hashed.join(small, "_row_hash", "left_semi").drop("_row_hash").distinct())
-
-
-def clean(df: DataFrame, family: str, scope: str | None = None, years=YEARS, by_hash: bool = True) -> DataFrame:
-    """Keep valid rows once. With `scope` (a source-file column) duplicates are dropped per file.
-
-    `by_hash` reads the input twice to shuffle hashes instead of rows; without it the rows are shuffled once."""
+def drop_exact_duplicates(df: DataFrame) -> DataFrame:
+    """Equal rows once: one shuffle of the rows whatever their number; copies that meet in a map task are combined before it."""
+    return df.distinct()
+
+
+def clean(df: DataFrame, family: str, scope: str | None = None, years=YEARS) -> DataFrame:
+    """Keep valid rows once. With `scope` (a source-file column) duplicates are dropped per file."""
     kept = df.where(predicate(family, years))
     if scope is not None and scope not in df.columns:
         kept = kept.withColumn(scope, F.col("_metadata.file_path"))
-    return drop_exact_duplicates(kept) if by_hash else kept.distinct()
+    return drop_exact_duplicates(kept)
 
 
 def rule_violations(df: DataFrame, family: str, years=YEARS) -> DataFrame:

@@ -153,6 +153,8 @@ def dummy_fixed_effects(panel: DataFrame, unit: str, time: str, treatment: str,
         left = rows.groupBy(unit).agg(F.avg("_t").alias("_t"), F.avg("_y").alias("_y")).agg(F.max(F.greatest(F.abs("_t"), F.abs("_y")))).first()[0]
         if left is None or left < tol:
             break
+    else:
+        raise RuntimeError("two-way means did not vanish")
     s = rows.agg(F.sum(F.col("_t") * F.col("_t")).alias("tt"), F.sum(F.col("_t") * F.col("_y")).alias("ty"), F.sum(F.col("_y") * F.col("_y")).alias("yy"),
                  F.count(F.lit(1)).alias("n"), F.count_distinct(unit).alias("units"), F.count_distinct(time).alias("times"))
     ate = F.try_divide(F.col("ty"), F.col("tt"))

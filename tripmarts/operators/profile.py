@@ -78,11 +78,12 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def clipped_histogram(df: DataFrame, value: str, q: float = 0.99, bins: int = 50) -> DataFrame:
-    """Equal-width histogram of the values up to the q-quantile."""
+def clipped_histogram(df: DataFrame, value: str, q: float = 0.99, bins: int = 50, lower: float | None = None) -> DataFrame:
+    """Equal-width histogram of all values, those beyond the q-quantile (or below `lower`) counted at the limit."""
     v = df.select(F.lit(1).alias("_k"), F.col(value).cast("double").alias("value")).where("value is not null")
     hi = exact_quantiles(v, ["_k"], "value", {"hi": q}).select("hi").scalar()
-    kept = v.withColumn("hi", hi).where(F.col("value") <= F.col("hi"))
+    low = F.col("value") if lower is None else F.greatest("value", F.lit(lower))
+    kept = v.withColumn("hi", hi).withColumn("value", F.least(low, F.col("hi")))
     lo = kept.agg(F.min("value")).scalar()
     width = (F.col("hi") - lo) / bins
     b = F.when(width == 0, 0).otherwise(F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("value") - lo, width)))).cast("int")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmarts import lineage
 from tripmarts.functions.hashing import draw_index
-from tripmarts.operators.rollup import correlation
 from tripmarts.operators.window import global_rank
 
 
@@ -60,37 +63,70 @@ def bootstrap_quantile_difference(hist: DataFrame, date: str, segment: str, a: s
     return _interval(diffs, list(probs))
 
 
-def _shuffled(units: DataFrame, reps: int, cols: list[str]) -> DataFrame:
-    """(rep, place, cols): every replicate is the units in the order of their hash."""
+#: The order of a shuffle: units by shuffle_key(replicate, position), then position.
+PRIME = 2_147_483_647
+#: Replicates that one Arrow row stands for.
+BLOCK = 256
+
+
+def shuffle_key(rep, pos):
+    """A number below PRIME from two integers, with operations that every engine has; works on numpy arrays."""
+    a = (rep * 1_000_003 + pos * 8191 + 17) % PRIME
+    b = (a * a % PRIME + rep * 31 + pos) % PRIME
+    return (b * b + a * 12_345) % PRIME
+
+
+def _permuted(units: DataFrame, reps: int, statistic: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], slack: float) -> DataFrame:
+    """(obs, hits, reps): the statistic of the units (pos, a, b), and the shuffles of b in which it is as extreme.
+
+    The units of a resampling are days or the like; each task gets their vector and a block of replicates, Spark adds up the hits.
+    statistic(a, b, orders) has one value per row of orders.
+    """
     spark = units.sparkSession
-    tasks = min(reps, max(8, spark.sparkContext.defaultParallelism))
-    keyed = units.select("pos", *cols).repartition(tasks, "pos").select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    order = F.md5(F.concat_ws("-", F.col("rep").cast("string"), F.col("pos").cast("string")))
-    return keyed.withColumn("_h", order).withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("_h", "pos")) - 1).drop("_h")
+    vector = units.agg(F.sort_array(F.collect_list(F.struct("pos", "a", "b")))).scalar()
+    blocks = -(-reps // BLOCK)
+    tasks = spark.range(0, blocks, 1, min(blocks, max(8, spark.sparkContext.defaultParallelism))).select((F.col("id") * BLOCK).alias("start"), vector.alias("units"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not rows:
+                    continue
+                a, b = (np.array([float(r[c]) for r in rows]) for c in ("a", "b"))
+                pos = np.arange(len(rows), dtype=np.int64)
+                observed = float(statistic(a, b, pos[None])[0])
+                hits = 0
+                for at in range(start, min(start + BLOCK, reps), 32):
+                    rep = np.arange(at, min(at + 32, start + BLOCK, reps), dtype=np.int64)
+                    orders = np.argsort(shuffle_key(rep[:, None], pos[None]), axis=1, kind="stable")
+                    hits += int((np.abs(statistic(a, b, orders)) >= abs(observed) - slack).sum())
+                yield pa.RecordBatch.from_pydict({"obs": [observed], "hits": [hits]})
+
+    return tasks.mapInArrow(run, "obs double, hits bigint").agg(F.max("obs").alias("obs"), (F.sum("hits") / F.lit(reps)).alias("p_value"))
+
+
+def _correlations(x: np.ndarray, y: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    x, y = x - x.mean(), y - y.mean()
+    return y[orders] @ x / np.sqrt((x @ x) * (y @ y))
+
+
+def _gaps(v: np.ndarray, m: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    inside, n = m[orders] @ v, m.sum()
+    return inside / n - (v.sum() - inside) / (len(v) - n)
 
 
 def permutation_correlation(df: DataFrame, key: str, x: str, y: str, reps: int = 20000) -> DataFrame:
     """Two-sided permutation p-value of Pearson's r."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b"))
     rows = lineage.cut(rows)
-    units = rows.join(number_units(rows, key), key)
-    observed = units.agg(correlation("x", "y")).scalar()
-    shuffled = _shuffled(units, reps, ["y"]).select("rep", F.col("place").alias("pos"), F.col("y").alias("y_new"))
-    rs = shuffled.join(units.select("pos", "x"), "pos").groupBy("rep").agg(correlation("x", "y_new").alias("r")).withColumn("obs", observed)
     # A replicate equal to the observation up to rounding counts as at least as extreme.
-    return rs.agg(F.max("obs").alias("r"), F.avg(F.when(F.abs("r") >= F.abs("obs") - 1e-12, 1.0).otherwise(0.0)).alias("p_value"))
+    out = _permuted(rows.join(number_units(rows, key), key), reps, _correlations, 1e-12)
+    return out.select(F.col("obs").alias("r"), "p_value")
 
 
 def permutation_group_difference(df: DataFrame, key: str, value: str, mask: str, reps: int = 20000) -> DataFrame:
     """Permutation p-value of mean(value | mask) - mean(value | not mask); the mask is shuffled."""
-    rows = df.where(F.col(value).isNotNull() & F.col(mask).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.col(mask).alias("m"))
+    rows = df.where(F.col(value).isNotNull() & F.col(mask).isNotNull()).select(key, F.col(value).cast("double").alias("a"), F.col(mask).cast("int").cast("double").alias("b"))
     rows = lineage.cut(rows)
-    units = rows.join(number_units(rows, key), key)
-
-    def gap(m: str) -> Column:
-        return F.avg(F.when(F.col(m), F.col("v"))) - F.avg(F.when(~F.col(m), F.col("v")))
-
-    observed = units.agg(gap("m")).scalar()
-    shuffled = _shuffled(units, reps, ["m"]).select("rep", F.col("place").alias("pos"), F.col("m").alias("m_new"))
-    ds = shuffled.join(units.select("pos", "v"), "pos").groupBy("rep").agg(gap("m_new").alias("d")).withColumn("obs", observed)
-    return ds.agg(F.max("obs").alias("diff"), F.avg(F.when(F.abs("d") >= F.abs("obs") - 1e-9, 1.0).otherwise(0.0)).alias("p_value"))
+    out = _permuted(rows.join(number_units(rows, key), key), reps, _gaps, 1e-9)
+    return out.select(F.col("obs").alias("diff"), "p_value")
