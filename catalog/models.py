@@ -403,7 +403,7 @@ def q_baselines(spark, d):
 
 @register("forecast_scores", "model:str mae:real rmse:real mape_pct:real n")
 def q_scores(spark, d):
-    return FC.scores(FC.predict(fc_features(spark, d), "2000-01-01", max_iter=30))
+    return FC.scores(FC.predict(fc_features(spark, d), "2000-01-01"))
 
 
 # --- clustering --------------------------------------------------------------------------------------------------
@@ -422,7 +422,7 @@ def q_silhouette(spark, d):
 
 
 def members(spark, d):
-    return K.assign(K.vectors(K.profiles(T("fhvhv_trips")(spark, d))), 4)
+    return K.assign(K.vectors(K.profiles(T("fhvhv_trips")(spark, d))))
 
 
 @register("zone_clusters", "zone cluster cluster_label:str")

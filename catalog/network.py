@@ -121,24 +121,35 @@ def q_tiers(spark, d):
 
 
 def od_nodes(spark, d):
-    """Largest zone flows with both centroids snapped to the nearest road node."""
-    v = T("way_vertices")(spark, d).where("highway <> 'footway'").where("lat < 41.1")
+    """The 60 largest zone flows of each period of the busiest day, both centroids snapped to the nearest road node."""
+    v = T("way_vertices")(spark, d).where("highway <> 'footway'")
     nodes = v.select(N.node_id(F.col("lat"), F.col("lon")).alias("node"), "lat", "lon").distinct()
     snap = spatial.nearest(T("zones")(spark, d), "LocationID", nodes, target_id="node").select("LocationID", "target")
-    top = N.top_routes(trips(spark, d), T("zones")(spark, d), 20).select("pu", "do_", "trips")
-    return lineage.cut(top.join(snap.withColumnsRenamed({"LocationID": "pu", "target": "u"}), "pu").join(snap.withColumnsRenamed({"LocationID": "do_", "target": "v"}), "do_"))
+    top = N.busiest_day_flows(trips(spark, d), 60).select("period", "pu", "do_", "trips")
+    return lineage.cut(top.join(snap.withColumnsRenamed({"LocationID": "pu", "target": "u"}), "pu", "left").join(snap.withColumnsRenamed({"LocationID": "do_", "target": "v"}), "do_", "left"))
 
 
-@register("routed_flow_lengths", "pu do_ trips dist_m:real")
-def q_routed(spark, d):
+def routed(spark, d):
     od = od_nodes(spark, d)
-    best = N.shortest_paths(q_roads(spark, d), od)
+    snapped = od.where("u IS NOT NULL AND v IS NOT NULL")
+    return od, N.shortest_paths(q_roads(spark, d), snapped)
+
+
+@register("routed_flow_lengths", "period:str pu do_ trips dist_m:real")
+def q_routed(spark, d):
+    od, best = routed(spark, d)
     return od.join(best.select(F.col("source").alias("u"), F.col("node").alias("v"), F.col("dist").alias("dist_m")), ["u", "v"], "left")
 
 
-@register("routed_edge_load", "u v load")
-def q_routed_load(spark, d):
-    od = od_nodes(spark, d)
-    return N.load_of_steps(N.route_edges(N.shortest_paths(q_roads(spark, d), od), od))
+@register("routed_flow_counts", "period:str routed failed trips")
+def q_routed_counts(spark, d):
+    return N.flow_outcomes(*routed(spark, d))
 
 
+@register("routed_edge_load", "period:str u v load")
+def q_routed_load(spark, d):
+    od, best = routed(spark, d)
+    pairs = od.where("u IS NOT NULL AND v IS NOT NULL").groupBy("u", "v").agg(F.sum("trips").alias("trips"))
+    steps = N.route_edges(best, pairs).select(F.col("source").alias("from"), F.col("target").alias("to"), "u", "v")
+    flows = od.select("period", F.col("u").alias("from"), F.col("v").alias("to"), "trips")
+    return steps.join(flows, ["from", "to"]).groupBy("period", "u", "v").agg(F.sum("trips").alias("load"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -12,6 +14,8 @@ from tripmarts import lineage
 from tripmarts.operators.rollup import pivot_sum, rows
 from tripmarts.operators.window import share
 
+#: Starts that are fitted at the same time.
+SIDE_BY_SIDE = 8
 SLOTS = [f"{p}{h}" for p in ("wd", "we") for h in range(24)]
 
 
@@ -29,19 +33,28 @@ def vectors(prof: DataFrame) -> DataFrame:
 
 
 def _fit(data: DataFrame, k: int, seed: int, restarts: int):
-    fits = [KMeans(k=k, seed=seed + i, maxIter=50, featuresCol="features", predictionCol="cluster").fit(data) for i in range(restarts)]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    """The cheapest of several starts; their jobs run side by side."""
+    one = lambda i: KMeans(k=k, seed=seed + i, maxIter=50, featuresCol="features", predictionCol="cluster").fit(data)
+    with ThreadPool(SIDE_BY_SIDE) as pool:
+        return min(pool.map(one, range(restarts)), key=lambda m: m.summary.trainingCost)
 
 
-def silhouettes(data: DataFrame, ks: range = range(3, 10), seed: int = 42, restarts: int = 1) -> DataFrame:
-    """Silhouette for each k, best first."""
+def _scores(data: DataFrame, ks: range, seed: int, restarts: int) -> list[tuple[int, float]]:
     ev = ClusteringEvaluator(predictionCol="cluster", featuresCol="features")
-    out = [(k, float(ev.evaluate(_fit(data, k, seed, restarts).transform(data)))) for k in ks]
-    return data.sparkSession.createDataFrame(out, "k int, silhouette double").orderBy(F.desc("silhouette"))
+    return [(k, float(ev.evaluate(_fit(data, k, seed, restarts).transform(data)))) for k in ks]
+
+
+def silhouettes(data: DataFrame, ks: range = range(3, 10), seed: int = 42, restarts: int = 10) -> DataFrame:
+    """Silhouette for each k, best first."""
+    return data.sparkSession.createDataFrame(_scores(data, ks, seed, restarts), "k int, silhouette double").orderBy(F.desc("silhouette"))
+
 
+def assign(data: DataFrame, k: int | None = None, seed: int = 42, restarts: int = 20, ks: range = range(3, 10)) -> DataFrame:
+    """Membership with a label taken from the centroid's peak hours, not from the cluster number.
 
-def assign(data: DataFrame, k: int, seed: int = 42, restarts: int = 3) -> DataFrame:
-    """Membership with a label taken from the centroid's peak hours, not from the cluster number."""
+    Without k, the one of `ks` with the best silhouette is taken (the least of equals)."""
+    if k is None:
+        k = max(_scores(data, ks, seed, restarts // 2), key=lambda x: (x[1], -x[0]))[0]
     member = lineage.cut(_fit(data, k, seed, restarts).transform(data).drop("features"))
     cent = centroids(member)
     peak = lambda p: F.expr(f"array_position(array({', '.join(f'{p}{h}' for h in range(24))}), greatest({', '.join(f'{p}{h}' for h in range(24))})) - 1")

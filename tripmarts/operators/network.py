@@ -126,8 +126,10 @@ def shortest_paths(edges: DataFrame, od: DataFrame, max_rounds: int = 10000) ->
     """Length and predecessor of every node reached from the sources of `od` (u, v, ...).
 
     Rounds extend only what improved in the round before, until nothing improves. Every round is one join of
-    the frontier with the edges and one minimum per (source, node).
+    the frontier with the edges and one minimum per (source, node). Once all targets of a source are reached,
+    nodes farther than the farthest of them are not extended: the targets' distances and routes are exact.
     """
+    targets = lineage.cut(od.select(F.col("u").alias("source"), F.col("v").alias("node")).distinct())
     e = lineage.cut(edges.groupBy("u", "v").agg(F.min("length_m").alias("length_m")))
     best = lineage.cut(od.select(F.col("u").alias("source")).distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("bigint").alias("prev")))
     frontier = best
@@ -140,7 +142,8 @@ def shortest_paths(edges: DataFrame, od: DataFrame, max_rounds: int = 10000) ->
         if better.isEmpty():
             return best
         best = lineage.cut(best.join(better, ["source", "node"], "left_anti").unionByName(better))
-        frontier = better
+        far = targets.join(best, ["source", "node"], "left").groupBy("source").agg(F.max(F.coalesce("dist", F.lit(float("inf")))).alias("far"))
+        frontier = better.join(far, "source").where("dist < far").drop("far")
     raise RuntimeError("paths did not settle")
 
 
@@ -148,17 +151,28 @@ def route_edges(paths: DataFrame, od: DataFrame, max_rounds: int = 10000) -> Dat
     """(source, target, trips, u, v): the steps of each pair's shortest path, walked back from the target."""
     at = od.select(F.col("u").alias("source"), F.col("v").alias("target"), "trips").where("source <> target").withColumn("node", F.col("target"))
     at = lineage.cut(at.join(paths.select("source", "node"), ["source", "node"], "left_semi").select("source", "target", "trips", "node"))
-    out = None
+    folder, walked = lineage.shared_folder(od.sparkSession, "routes"), False
     for _ in range(max_rounds):
         step = lineage.cut(at.join(paths.select("source", "node", "prev").where("prev is not null"), ["source", "node"]))
         if step.isEmpty():
             break
-        part = step.select("source", "target", "trips", F.col("prev").alias("u"), F.col("node").alias("v"))
-        out = part if out is None else out.unionByName(part)
+        step.select("source", "target", "trips", F.col("prev").alias("u"), F.col("node").alias("v")).write.mode("append").parquet(folder)
+        walked = True
         at = step.select("source", "target", "trips", F.col("prev").alias("node"))
-    if out is None:
-        out = at.select("source", "target", "trips", F.col("node").alias("u"), F.col("node").alias("v")).where("false")
-    return out
+    else:
+        raise RuntimeError("routes did not end")
+    if not walked:
+        return at.select("source", "target", "trips", F.col("node").alias("u"), F.col("node").alias("v")).where("false")
+    return od.sparkSession.read.parquet(folder)
+
+
+def flow_outcomes(flows: DataFrame, paths: DataFrame) -> DataFrame:
+    """Per period: flows with a route, flows without one (an end without a road node, or no way), trips of all flows.
+
+    A flow within one road node needs no route and counts as neither."""
+    done = flows.join(paths.select(F.col("source").alias("u"), F.col("node").alias("v"), "dist"), ["u", "v"], "left")
+    apart = F.coalesce(F.col("u") != F.col("v"), F.lit(True))
+    return done.groupBy("period").agg(F.count_if(F.col("dist").isNotNull() & apart).alias("routed"), F.count_if(F.col("dist").isNull()).alias("failed"), F.sum("trips").alias("trips"))
 
 
 def load_of_steps(steps: DataFrame) -> DataFrame:
