@@ -29,12 +29,11 @@ def q_cells(spark, d):
 
 @register("wav_dashboard_wait_summary", "provider:str segment:str trips valid_wait_n on_scene_wait_n pickup_proxy_n excluded_negative_n "
           "excluded_on_scene_after_pickup_n mean_min:real p50_min:real p95_min:real", """
-SELECT CASE WHEN GROUPING(provider) = 1 THEN 'Все' ELSE provider END AS provider, segment, count(*) AS trips, count(adjusted_wait_sec) AS valid_wait_n,
-  count(*) FILTER (WHERE used_on_scene) AS on_scene_wait_n, count(*) FILTER (WHERE used_pickup_proxy) AS pickup_proxy_n,
-  count(*) FILTER (WHERE excluded_negative) AS excluded_negative_n,
-  count(*) FILTER (WHERE excluded_on_scene_after_pickup) AS excluded_on_scene_after_pickup_n,
+SELECT provider, segment, count(*) AS trips, count(adjusted_wait_sec) AS valid_wait_n, CAST(sum(CAST(used_on_scene AS INTEGER)) AS BIGINT) AS on_scene_wait_n,
+  CAST(sum(CAST(used_pickup_proxy AS INTEGER)) AS BIGINT) AS pickup_proxy_n, CAST(coalesce(sum(CAST(excluded_negative AS INTEGER)), 0) AS BIGINT) AS excluded_negative_n,
+  CAST(coalesce(sum(CAST(excluded_on_scene_after_pickup AS INTEGER)), 0) AS BIGINT) AS excluded_on_scene_after_pickup_n,
   avg(adjusted_wait_sec) / 60 AS mean_min, quantile_cont(adjusted_wait_sec, .5) / 60 AS p50_min, quantile_cont(adjusted_wait_sec, .95) / 60 AS p95_min
-FROM adjusted GROUP BY GROUPING SETS ((provider, segment), (segment))""")
+FROM (SELECT * FROM adjusted UNION ALL SELECT * REPLACE ('Все' AS provider) FROM adjusted) q GROUP BY provider, segment""")
 def wait_summary(spark, d):
     return A.wait_summary(core(spark, d))
 
