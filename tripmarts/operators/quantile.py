@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripmarts import lineage
+
 
 def value_histogram(df: DataFrame, keys: list, value, n: str = "n") -> DataFrame:
     """(keys, value, count): combined on the map side, so a hot key costs one row per distinct value and task."""
@@ -43,44 +45,48 @@ def bin_quantile(hist: DataFrame, keys: list[str], value: str, n: str, probs: di
         *[F.min(F.when(F.col("_cum") >= F.lit(q) * F.col("_total"), F.col(value))).alias(name) for name, q in probs.items()])
 
 
+#: Groups whose cut points are broadcast; with more groups the rows are joined to them by a shuffle.
+BROADCAST_GROUPS = 100_000
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 10000) -> DataFrame:
-    """Exact interpolated quantiles of a continuous value, without bringing a group into one task.
+    """Exact interpolated quantiles of a continuous value, in two passes and without a shuffle of all values.
 
-    Approximate quantiles only choose cut points around each target; the rows are then counted per
-    interval, which places every target order statistic in one narrow interval, and only those intervals
-    are ranked. The result does not depend on the quality of the cuts.
+    The first pass sketches, per group, a narrow interval of values around each target. The second counts: inside
+    the intervals by value, between them only rows, least and largest value, all combined before the shuffle. A
+    sketch is off by at most 1/accuracy of the rows and an interval reaches 2/accuracy to both sides, so the target
+    order statistics lie inside, or, in small groups, right beside an interval; anything else is an error.
     """
     v = F.col(value)
-    rows = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.where(v.isNotNull())
     margin = 2.0 / accuracy
-    cuts = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs.values() for s in (-1, 1)})
-    cut_table = df.where(v.isNotNull()).groupBy(*keys).agg(
-        F.percentile_approx(v, F.array(*[F.lit(c) for c in cuts]), F.lit(accuracy)).alias("_cuts"))
-    bucket = F.lit(0)
-    for i in range(len(cuts)):
-        bucket = bucket + (v > F.col("_cuts")[i]).cast("int")
-    placed = rows.join(cut_table, keys).withColumn("_bucket", bucket).drop("_cuts")
-    per_bucket = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
+    ends = [(max(0.0, p - margin), min(1.0, p + margin)) for p in probs.values()]
+    sketched = rows.groupBy(*keys).agg(F.percentile_approx(v, F.array(*[F.lit(e) for pair in ends for e in pair]), F.lit(accuracy)).alias("_cuts"))
+    cuts = lineage.cut(sketched)
+    if cuts.count() <= BROADCAST_GROUPS:
+        cuts = F.broadcast(cuts)
+    low_cut = [F.col("_cuts")[2 * i] for i in range(len(ends))]
+    high_cut = [F.col("_cuts")[2 * i + 1] for i in range(len(ends))]
+    inside, part = F.lit(False), F.lit(0)
+    for lo, hi in zip(low_cut, high_cut, strict=True):
+        inside = inside | ((v >= lo) & (v <= hi))
+        part = part + (v >= lo).cast("int") + (v > hi).cast("int")
+    placed = rows.join(cuts, keys).select(*keys, v.alias("_v"), part.alias("_part"), F.when(inside, v).alias("_exact"))
+    counted = placed.groupBy(*keys, "_part", "_exact").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     by_key = Window.partitionBy(*keys)
-    per_bucket = (per_bucket.withColumn("_end", F.sum("_size").over(by_key.orderBy("_bucket")))
-                  .withColumn("_total", F.sum("_size").over(by_key))
-                  .withColumn("_start", F.col("_end") - F.col("_size")))
-    targets = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_total") - 1)).alias("pos"))
-                        for name, q in probs.items()])
-    # 0-based positions floor(pos) and floor(pos)+1 are wanted; keep the buckets that hold one of them.
-    wanted = F.filter(targets, lambda t: (F.floor(t["pos"]) < F.col("_end"))
-                      & (F.least(F.floor(t["pos"]) + 1, F.col("_total") - 1) >= F.col("_start")))
-    narrow = per_bucket.withColumn("_targets", wanted).where(F.size("_targets") > 0)
-    ranked = (placed.join(narrow.select(*keys, "_bucket", "_start", "_total", "_targets"), [*keys, "_bucket"])
-              .withColumn("_hi", F.col("_start") + F.sum("_n").over(Window.partitionBy(*keys, "_bucket").orderBy(value)))
-              .withColumn("_lo", F.col("_hi") - F.col("_n")))
+    ranked = (counted.withColumn("_hi", F.sum("_n").over(by_key.orderBy("_part", "_min")))
+              .withColumn("_total", F.sum("_n").over(by_key)).withColumn("_lo", F.col("_hi") - F.col("_n")))
+
+    def at(position: Column) -> Column:
+        here = (F.when(F.col("_exact").isNotNull() | (position == F.col("_lo")), F.col("_min"))
+                .when(position == F.col("_hi") - 1, F.col("_max")).otherwise(F.raise_error(F.lit("quantile outside its interval"))))
+        return F.max(F.when((F.col("_lo") <= position) & (position < F.col("_hi")), here))
+
     picks = []
     for name, q in probs.items():
         pos = F.lit(q) * (F.col("_total") - 1)
         low = F.floor(pos)
         high = F.least(low + 1, F.col("_total") - 1)
-        at_low = F.max(F.when((F.col("_lo") <= low) & (low < F.col("_hi")), v))
-        at_high = F.max(F.when((F.col("_lo") <= high) & (high < F.col("_hi")), v))
-        frac = F.max(pos - low)
-        picks.append((at_low + (at_high - at_low) * frac).alias(name))
+        at_low, at_high = at(low), at(high)
+        picks.append((at_low + (at_high - at_low) * F.max(pos - low)).alias(name))
     return ranked.groupBy(*keys).agg(*picks)
