@@ -1,6 +1,6 @@
 """Registry of queries: a Spark callable, its output contract and, where SQL can say it, an oracle.
 
-The contract is a string `name:type ...` with types int, real, str, date, ts, bool. It is applied to both
+The contract is a string `name:type ...` with types int, real, sig (six significant digits, for p-values), str, date, ts, bool. It is applied to both
 sides. Doubles are compared at seven significant digits, because the order in which a sum is taken
 differs between engines and runs.
 """
@@ -37,6 +37,10 @@ def project(df: DataFrame, spec: str) -> DataFrame:
         c = F.col(f"`{name}`")
         if kind == "real":
             c = (F.round(c.cast("double"), 9).cast("float").cast("double") + F.lit(0.0))
+        elif kind == "sig":
+            x = c.cast("double")
+            unit = F.pow(F.lit(10.0), 5 - F.floor(F.log10(x)))
+            c = F.when(x < 1e-37, F.lit(0.0)).otherwise((F.floor(x * unit + 0.5) / unit).cast("float").cast("double"))
         else:
             c = c.cast(_SPARK[kind])
         cols.append(c.alias(name))
@@ -48,6 +52,9 @@ def wrap(sql: str, spec: str) -> str:
     for name, kind in _contract(spec):
         if kind == "real":
             cols.append(f'CAST(CAST(round(CAST("{name}" AS DOUBLE), 9) AS FLOAT) AS DOUBLE) + CAST(0 AS DOUBLE) AS "{name}"')
+        elif kind == "sig":
+            unit = f'pow(CAST(10 AS DOUBLE), 5 - floor(log10("{name}")))'
+            cols.append(f'CASE WHEN "{name}" < CAST(1e-37 AS DOUBLE) THEN CAST(0 AS DOUBLE) ELSE CAST(CAST(floor("{name}" * {unit} + 0.5) / {unit} AS FLOAT) AS DOUBLE) END AS "{name}"')
         else:
             cols.append(f'CAST("{name}" AS {_SQL[kind]}) AS "{name}"')
     ctes: dict[str, str] = {}

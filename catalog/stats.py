@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog import access, events, shared, suite
+from catalog import access, events, shared, suite, tails
 from catalog.base import T, cte, register
 from tripmarts.functions import trip as X
 from tripmarts.operators import clean as C
@@ -32,10 +32,13 @@ cte("m_welch", """SELECT wait_group, count(*) FILTER (WHERE provider = 'Lyft') A
   var_samp(w) FILTER (WHERE provider = 'Uber') AS var_b FROM m_wait_fact GROUP BY 1""")
 
 
-@register("welch_wait", "wait_group:str n_a n_b diff:real t:real df:real cohens_d:real", """
+WELCH = """
 SELECT wait_group, n_a, n_b, mean_a - mean_b AS diff, (mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b) AS t,
   pow(var_a / n_a + var_b / n_b, 2) / (pow(var_a / n_a, 2) / (n_a - 1) + pow(var_b / n_b, 2) / (n_b - 1)) AS df,
-  (mean_a - mean_b) / sqrt((var_a * (n_a - 1) + var_b * (n_b - 1)) / (n_a + n_b - 2)) AS cohens_d FROM m_welch""")
+  (mean_a - mean_b) / sqrt((var_a * (n_a - 1) + var_b * (n_b - 1)) / (n_a + n_b - 2)) AS cohens_d FROM m_welch"""
+
+
+@register("welch_wait", "wait_group:str n_a n_b diff:real t:real df:real cohens_d:real p_value:sig", tails.with_p(WELCH, tails.t_two_sided("t", "df")))
 def q_welch(spark, d):
     return Y.welch(Y.moments(wait_fact(spark, d), "provider", "wait_sec", ["wait_group"]), "provider", "Lyft", "Uber", ["wait_group"])
 
@@ -57,15 +60,16 @@ DID = """SELECT (m11 - m10) AS treated_change, (m01 - m00) AS control_change, (m
   SELECT max(m) FILTER (WHERE l AND r) AS m11, max(m) FILTER (WHERE l AND NOT r) AS m10, max(m) FILTER (WHERE NOT l AND r) AS m01, max(m) FILTER (WHERE NOT l AND NOT r) AS m00, sum(v / n) AS s FROM (
     SELECT hvfhs_license_num = 'HV0005' AS l, dayofweek(request_datetime) NOT IN (0, 6) AND hour(request_datetime) IN (7, 8, 9, 17, 18, 19) AS r, avg({v}) AS m, var_samp({v}) AS v, count({v}) AS n
     FROM complete_clean WHERE hvfhs_license_num IN ('HV0003', 'HV0005') AND {f} GROUP BY 1, 2) q) w"""
-DID_SPEC = "treated_change:real control_change:real did:real se:real z:real"
-register("did_rush_wait", DID_SPEC, DID.format(v="date_diff('second', request_datetime, pickup_datetime)", f="TRUE"))(lambda spark, d: _did(spark, d, "wait"))
-register("did_rush_fare_per_mile", DID_SPEC, DID.format(v="(base_passenger_fare / trip_miles)", f="trip_miles >= 2 AND trip_miles < 5"))(lambda spark, d: _did(spark, d, "fpm"))
+DID_SPEC = "treated_change:real control_change:real did:real se:real z:real p_value:sig"
+RUSH_WAIT = tails.with_p(DID.format(v="date_diff('second', request_datetime, pickup_datetime)", f="TRUE"), tails.normal_two_sided("z"))
+RUSH_FARE = tails.with_p(DID.format(v="(base_passenger_fare / trip_miles)", f="trip_miles >= 2 AND trip_miles < 5"), tails.normal_two_sided("z"))
+register("did_rush_wait", DID_SPEC, RUSH_WAIT)(lambda spark, d: _did(spark, d, "wait"))
+register("did_rush_fare_per_mile", DID_SPEC, RUSH_FARE)(lambda spark, d: _did(spark, d, "fpm"))
 
 
-@register("significance_tests", "hypothesis:str effect:real stat:real", f"""
-SELECT 'wait ' || wait_group AS hypothesis, mean_a - mean_b AS effect, (mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b) AS stat FROM m_welch
-UNION ALL SELECT 'rush wait', did, z FROM ({DID.format(v="date_diff('second', request_datetime, pickup_datetime)", f="TRUE")}) a
-UNION ALL SELECT 'rush fare per mile', did, z FROM ({DID.format(v="(base_passenger_fare / trip_miles)", f="trip_miles >= 2 AND trip_miles < 5")}) b""")
+@register("significance_tests", "hypothesis:str effect:real stat:real p_value:sig", f"""
+SELECT 'wait ' || wait_group AS hypothesis, diff AS effect, t AS stat, p_value FROM ({tails.with_p(WELCH, tails.t_two_sided("t", "df"))}) w
+UNION ALL SELECT 'rush wait', did, z, p_value FROM ({RUSH_WAIT}) a UNION ALL SELECT 'rush fare per mile', did, z, p_value FROM ({RUSH_FARE}) b""")
 def q_significance(spark, d):
     from tripmarts.plans.panels import panel
     return panel("significance", {"significance_tests": significance_table(spark, d)}, table="significance_tests", effect="effect")
@@ -83,7 +87,7 @@ CHI = """SELECT total, chi2, dof, sqrt(chi2 / (total * least(nr - 1, nc - 1))) A
     SELECT r, c, n, 1.0 * sum(n) OVER (PARTITION BY r) * sum(n) OVER (PARTITION BY c) / sum(n) OVER () AS e FROM (
       SELECT r.r, c.c, coalesce(n, 0) AS n FROM (SELECT DISTINCT r FROM {src} a) r CROSS JOIN (SELECT DISTINCT c FROM {src} b) c
       LEFT JOIN {src} s ON s.r = r.r AND s.c = c.c) f) g) h"""
-CHI_SPEC = "total chi2:real dof cramers_v:real"
+CHI_SPEC = "total chi2:real dof cramers_v:real p_value:sig"
 SH = "(shared_request_flag = 'Y' OR shared_match_flag = 'Y')"
 DUR = ("CASE WHEN trip_time < 600 THEN '0-10' WHEN trip_time < 1200 THEN '10-20' WHEN trip_time < 1800 THEN '20-30' "
        "WHEN trip_time < 2700 THEN '30-45' WHEN trip_time < 3600 THEN '45-60' ELSE '60+' END")
@@ -97,12 +101,12 @@ def _shared_long(df, key):
     return df.select(key, F.col("shared_trips").alias("shared"), (F.col("total_trips") - F.col("shared_trips")).alias("other")).unpivot([key], ["shared", "other"], "kind", "n").where("n > 0")
 
 
-@register("chi2_shared_duration", CHI_SPEC, CHI.format(src="chi_duration"))
+@register("chi2_shared_duration", CHI_SPEC, tails.with_p(CHI.format(src="chi_duration"), tails.chi2_sf("chi2", "dof")))
 def q_chi_dur(spark, d):
     return Y.chi_square(_shared_long(S.by_duration(shared.clean(spark, d)), "duration_group"), "duration_group", "kind")
 
 
-@register("chi2_shared_hour", CHI_SPEC, CHI.format(src="chi_hour"))
+@register("chi2_shared_hour", CHI_SPEC, tails.with_p(CHI.format(src="chi_hour"), tails.chi2_sf("chi2", "dof")))
 def q_chi_hour(spark, d):
     return Y.chi_square(_shared_long(S.by_hour(shared.clean(spark, d)), "hour"), "hour", "kind")
 
@@ -112,7 +116,7 @@ def slots(spark, d):
     return g.unpivot(["dow", "hour"], ["accessibility", "ordinary"], "segment", "n")
 
 
-@register("chi2_weekly_slots", CHI_SPEC, CHI.format(src="slot_counts"))
+@register("chi2_weekly_slots", CHI_SPEC, tails.with_p(CHI.format(src="slot_counts"), tails.chi2_sf("chi2", "dof")))
 def q_chi_slots(spark, d):
     return Y.chi_square(slots(spark, d).withColumn("slot", F.col("dow") * 24 + F.col("hour")), "segment", "slot")
 
@@ -146,16 +150,16 @@ PROP = """SELECT pa AS share_a, pb AS share_b, pa - pb AS diff, (pa - pb) / sqrt
   pa / pb - 1 AS relative_lift, 2 * (asin(sqrt(pa)) - asin(sqrt(pb))) AS cohens_h FROM (
   SELECT na, nb, xa / na AS pa, xb / nb AS pb, (xa + xb) / (na + nb) AS pp FROM (SELECT CAST(sum(x) FILTER (WHERE g) AS DOUBLE) AS xa, CAST(sum(n) FILTER (WHERE g) AS DOUBLE) AS na,
     CAST(sum(x) FILTER (WHERE NOT g) AS DOUBLE) AS xb, CAST(sum(n) FILTER (WHERE NOT g) AS DOUBLE) AS nb FROM {src} s) q) w"""
-PROP_SPEC = "share_a:real share_b:real diff:real z:real ci_low:real ci_high:real relative_lift:real cohens_h:real"
+PROP_SPEC = "share_a:real share_b:real diff:real z:real ci_low:real ci_high:real relative_lift:real cohens_h:real p_two_sided:sig p_larger:sig"
 
 
-@register("proportions_shared_peak", PROP_SPEC, PROP.format(src=f"""(SELECT (dayofweek(request_datetime) NOT IN (0, 6) AND hour(request_datetime) IN (7, 8, 9, 17, 18, 19)) OR
-  (dayofweek(request_datetime) IN (0, 6) AND hour(request_datetime) IN (0, 1, 2, 10, 11, 12, 13, 14, 15)) AS g, CASE WHEN {SH} THEN 1 ELSE 0 END AS x, 1 AS n FROM shared_clean)"""))
+@register("proportions_shared_peak", PROP_SPEC, tails.with_p(PROP.format(src=f"""(SELECT (dayofweek(request_datetime) NOT IN (0, 6) AND hour(request_datetime) IN (7, 8, 9, 17, 18, 19)) OR
+  (dayofweek(request_datetime) IN (0, 6) AND hour(request_datetime) IN (0, 1, 2, 10, 11, 12, 13, 14, 15)) AS g, CASE WHEN {SH} THEN 1 ELSE 0 END AS x, 1 AS n FROM shared_clean)"""), tails.normal_two_sided("z"), p_two_sided=tails.normal_two_sided("z"), p_larger=tails.normal_sf("z")))
 def q_prop_shared(spark, d):
     return Y.two_proportions(S.by_peak(shared.clean(spark, d)), "is_peak", "Peak", "Non-peak", "shared_trips", "total_trips")
 
 
-@register("proportions_wav_peak", PROP_SPEC, PROP.format(src="(SELECT high_demand AS g, ordinary_wav_trips AS x, ordinary_trips AS n FROM m_cells_peak)"))
+@register("proportions_wav_peak", PROP_SPEC, tails.with_p(PROP.format(src="(SELECT high_demand AS g, ordinary_wav_trips AS x, ordinary_trips AS n FROM m_cells_peak)"), tails.normal_two_sided("z"), p_two_sided=tails.normal_two_sided("z"), p_larger=tails.normal_sf("z")))
 def q_prop_wav(spark, d):
     return Y.two_proportions(A.peak_counts(access.cells(spark, d)), "high_demand", True, False, "ordinary_wav_trips", "ordinary_trips")
 
@@ -164,17 +168,17 @@ cte("zone_rates", """SELECT PULocationID, count(*) AS total_trips, 100.0 * count
 FROM shared_clean s JOIN zones z ON s.PULocationID = z.LocationID WHERE hvfhs_license_num = 'HV0003' GROUP BY 1 HAVING count(*) FILTER (WHERE shared_request_flag = 'Y') >= 5""")
 
 
-@register("spearman_zone_match", "n r:real", """
+@register("spearman_zone_match", "n r:real p_value:sig", tails.with_p("""
 SELECT count(*) AS n, corr(rx, ry) AS r FROM (SELECT rank() OVER (ORDER BY total_trips) + (count(*) OVER (PARTITION BY total_trips) - 1) / 2.0 AS rx,
-  rank() OVER (ORDER BY match_rate) + (count(*) OVER (PARTITION BY match_rate) - 1) / 2.0 AS ry FROM zone_rates) q""")
+  rank() OVER (ORDER BY match_rate) + (count(*) OVER (PARTITION BY match_rate) - 1) / 2.0 AS ry FROM zone_rates) q""", tails.OF_R))
 def q_spearman(spark, d):
     return Y.spearman(shared.zone_summary(spark, d), "total_trips", "match_rate")
 
 
 for _c in ("price_tier", "dist_m"):
-    register(f"spearman_event_{_c}", "n r:real", f"""
+    register(f"spearman_event_{_c}", "n r:real p_value:sig", tails.with_p(f"""
 SELECT count(*) AS n, corr(rx, ry) AS r FROM (SELECT rank() OVER (ORDER BY {_c}) + (count(*) OVER (PARTITION BY {_c}) - 1) / 2.0 AS rx,
-  rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2.0 AS ry FROM (SELECT {_c}, post_pu_lift_pct AS k FROM m_event_hyp WHERE dist_m IS NOT NULL) s) q""")(
+  rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2.0 AS ry FROM (SELECT {_c}, post_pu_lift_pct AS k FROM m_event_hyp WHERE dist_m IS NOT NULL) s) q""", tails.OF_R))(
         lambda spark, d, c=_c: Y.spearman(events.hypothesis(spark, d).where("dist_m is not null"), c, "post_pu_lift_pct"))
 
 
@@ -198,12 +202,12 @@ def q_cdf(spark, d):
     return Y.histogram_cdf(hist(spark, d), "segment", "wait_bin_min", "trips")
 
 
-@register("mann_whitney_hist", "n_a:real n_b:real u:real z:real p_superiority:real rank_biserial:real", """
+@register("mann_whitney_hist", "n_a:real n_b:real u:real z:real p_superiority:real rank_biserial:real p_value:sig", tails.with_p("""
 SELECT n_a, n_b, u, (u - n_a * n_b / 2 - 0.5) / sqrt(n_a * n_b / 12 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1)))) AS z, u / (n_a * n_b) AS p_superiority, 2 * u / (n_a * n_b) - 1 AS rank_biserial
 FROM (SELECT sum(a) AS n_a, sum(b) AS n_b, sum(a * (less + 0.5 * b)) AS u, sum(pow(a + b, 3) - (a + b)) AS ties FROM (
   SELECT a, b, coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM (
     SELECT wait_bin_min AS bin, CAST(coalesce(sum(trips) FILTER (WHERE segment = 'Инклюзивные'), 0) AS DOUBLE) AS a, CAST(coalesce(sum(trips) FILTER (WHERE segment = 'Обычные'), 0) AS DOUBLE) AS b
-    FROM m_wait_hist GROUP BY 1) q) w) s""")
+    FROM m_wait_hist GROUP BY 1) q) w) s""", tails.normal_sf("z")))
 def q_mw(spark, d):
     return Y.mann_whitney(hist(spark, d), "segment", INC, ORD, "wait_bin_min", "trips")
 
@@ -252,7 +256,7 @@ def q_anom(spark, d):
     return weather_days(spark, d)
 
 
-@register("pearson_weather", "n r:real", "SELECT count(*) AS n, corr(taxi_anom, tmax_c) AS r FROM weather_days")
+@register("pearson_weather", "n r:real p_value:sig", tails.with_p("SELECT count(*) AS n, corr(taxi_anom, tmax_c) AS r FROM weather_days", tails.OF_R))
 def q_pearson(spark, d):
     return Y.pearson(weather_days(spark, d), "taxi_anom", "tmax_c")
 
