@@ -292,9 +292,8 @@ def q_within(spark, d):
 
 @register("effect_share_within_placebo", "term:str coef:real se:real n")
 def q_placebo(spark, d):
-    from tripmarts.functions.hashing import draw
     p = lineage.cut(panel(spark, d).select("zone", "year", "log_green", "fhvhv_share_of_pair").dropna())
-    dm = W.demean(p, ["fhvhv_share_of_pair", "log_green"], [["zone"], ["year"]]).withColumn("key", F.date_add(F.lit("1900-01-01").cast("date"), (draw(1, F.col("zone"), F.col("year")) % 1000000).cast("int")))
+    dm = W.demean(p, ["fhvhv_share_of_pair", "log_green"], [["zone"], ["year"]]).withColumn("key", F.col("zone").cast("long") * 10000 + F.col("year"))
     return L.ols(E._shuffle_column(dm, "key", "fhvhv_share_of_pair_dm", 42), "log_green_dm", ["fhvhv_share_of_pair_dm"], terms=["fhvhv_share_of_pair_dm"])
 
 

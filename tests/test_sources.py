@@ -100,3 +100,20 @@ def test_stream_refresh_is_incremental_and_replay_safe(spark, sf, tmp_path):
     assert got == want
     R.compact(spark, out, str(tmp_path / "compact"), ["date", "provider"], sums)
     assert spark.read.parquet(str(tmp_path / "compact")).count() == len(got)
+
+
+def test_a_path_whose_files_drift(spark, tmp_path):
+    one = spark.createDataFrame([(1, 2.0)], "PULocationID int, trip_miles double")
+    two = spark.createDataFrame([(2, 3, 1.25)], "PULocationID bigint, trip_miles bigint, airport_fee double")
+    one.write.parquet(f"{tmp_path}/m/a")
+    two.write.parquet(f"{tmp_path}/m/b")
+    got = {r["PULocationID"]: (r["trip_miles"], r["airport_fee"]) for r in readers.read_family(spark, "fhvhv", f"{tmp_path}/m/*").collect()}
+    assert got == {1: (2.0, None), 2: (3.0, 1.25)}
+
+
+def test_a_mart_that_breaks_its_grain_leaves_the_old_one(spark, tmp_path):
+    s = MartStore(spark, str(tmp_path), {"m": None})
+    s.write(spark.createDataFrame([(1, "a")], "k int, v string"), "m", grain=["k"])
+    with pytest.raises(ValueError):
+        s.write(spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string"), "m", grain=["k"])
+    assert [tuple(r) for r in s.read("m").collect()] == [(1, "a")]

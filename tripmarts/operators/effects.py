@@ -22,7 +22,10 @@ def _term(f: L.Fit, name: str) -> tuple:
 
 
 def _shuffle_column(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
-    """The column in hash order of the key, joined back by position: the same values at random places."""
+    """The column in hash order of the key, joined back by position: the same values at random places. The key must be unique."""
+    n, keys = df.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+    if n != keys:
+        raise ValueError(f"{key} is not unique: {keys} values in {n} rows")
     units = number_units(df, key)
     placed = df.select(key, column).join(units, key)
     total = units.agg(F.count(F.lit(1))).scalar()

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tripmarts import lineage
 from tripmarts.functions.hashing import draw_index
@@ -15,8 +16,10 @@ from tripmarts.operators.window import global_rank
 
 
 def number_units(df: DataFrame, key: str) -> DataFrame:
-    """(key, pos): 0-based position of each distinct unit in key order."""
-    units = df.select(key).distinct().withColumn("_ord", F.datediff(key, F.lit("1970-01-01").cast("date")).cast("double"))
+    """(key, pos): 0-based position of each distinct unit in key order; keys are dates or numbers."""
+    numeric = isinstance(df.schema[key].dataType, NumericType)
+    order = F.col(key) if numeric else F.datediff(key, F.lit("1970-01-01").cast("date"))
+    units = df.select(key).distinct().withColumn("_ord", order.cast("double"))
     return global_rank(units, "_ord", [key], "_rn").select(key, (F.col("_rn") - 1).alias("pos"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +29,16 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def read_family(spark: SparkSession, family: str, *paths: str, source: bool = False) -> DataFrame:
     """One trip family from folders, globs or explicit files, conformed to its schema.
 
-    Paths with equal file schemas share one scan, so the plan has one branch per schema version. Each path
-    should hold files of one version (a month or a year glob). `source` keeps the file path as `source_file`.
+    Files with equal schemas share one scan, so the plan has one branch per schema version, also where columns come
+    or change type among the files of one path. `source` keeps the file path as `source_file`.
     """
     schema = FAMILIES[family]
+    files = list(dict.fromkeys(f for p in paths for f in spark.read.parquet(p).inputFiles()))
+    with ThreadPool(16) as pool:  # one footer each
+        found = pool.map(lambda f: spark.read.parquet(f).schema.json(), files)
     groups: dict[str, list[str]] = {}
-    for p in paths:
-        found = spark.read.parquet(p).schema
-        groups.setdefault(found.json(), []).append(p)
+    for file, version in zip(files, found, strict=True):
+        groups.setdefault(version, []).append(file)
     out = None
     for same in groups.values():
         raw = spark.read.parquet(*same)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripmarts import lineage
+
 
 class MartStore:
     """Marts under `root`. `contract` maps the allowed names to a schema, or to None for any schema."""
@@ -32,12 +34,13 @@ class MartStore:
         """Replace a mart, check its grain, append a build record (rows, bytes); returns the stored mart.
         Sort order comes from the panels; a mart is written as its last shuffle left it."""
         self._check(df, name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        stored = self.read(name)
-        if grain:
-            twice = stored.groupBy(*grain).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if grain:  # checked before the old mart goes
+            df = lineage.cut(df)
+            twice = df.groupBy(*grain).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
             if not twice.isEmpty():
                 raise ValueError(f"mart {name} is not unique by {grain}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        stored = self.read(name)
         size = (self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self.path(name)).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")))
         record = size.select(F.lit(name).alias("mart"), F.lit(stored.count()).alias("rows"), "bytes", F.lit(description).alias("description"), F.current_timestamp().alias("built_at"))
         record.write.mode("append").parquet(self.path("_records"))
