@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from tripmarts.llm.common import fresh_name, id_and_text, map_columns
+from tripmarts.llm.common import fresh_name, id_and_text, map_columns, slices
 
 Q, LEAST, EDIT_SHARE = 8, 4, 0.1
-PASSAGE, STRIDE, BAND = 96, 48, 16
+PASSAGE, STRIDE, BAND = 64, 32, 16
 BLOCK_CHARS = 1 << 20
 #: Characters of documents that are worked on at once (a longer document is a block of its own).
-TEXT_CHARS = 1 << 21
+TEXT_CHARS = 1 << 20
 GAP = 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -219,7 +219,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, block = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 found = block.search([t or "" for t in batch.column(1).to_pylist()])
                 if found:
                     d, i, *rest = zip(*found, strict=True)
