@@ -72,9 +72,9 @@ def chosen_paths(tree: DataFrame, branches: int = 1) -> DataFrame:
             "c", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")))
     done = state.where("up IS NULL").select("c", "node", "depth", "total")
     ranked = leaves.join(done, ["c", "node"]).withColumn("path", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("total"), F.desc("depth"), "node")))
-    marked = ranked.where(F.col("path") <= branches).select("c", "node", "path")
+    marked = lineage.cut(ranked.where(F.col("path") <= branches).select("c", "node", "path"))
     for jump in jumps:
-        marked = marked.unionByName(marked.join(jump, ["c", "node"]).select("c", F.col("up").alias("node"), "path"))
+        marked = lineage.cut(marked.unionByName(marked.join(jump, ["c", "node"]).select("c", F.col("up").alias("node"), "path")))
     return marked.join(done, ["c", "node"]).select("c", "node", "path", "depth")
 
 
