@@ -41,8 +41,9 @@ def test_trees_learn_and_thresholds_hold():
     trees, start = pii.fit_trees(cells)
     scores = [pii._score_of(c, trees, start) for c in cells]
     assert scores[0] > scores[2] > scores[1]
-    assert scores[2] < pii.thresholds(cells, trees, start)[2] <= scores[0]
-    assert pii.fit_trees([])[0] == [] and pii.thresholds([], [], 0.0) == [0.0] * 4
+    assert scores[2] < pii.thresholds(cells, cells, trees, start)[2] <= scores[0]
+    assert pii.thresholds(cells, [cell(0, 9, 0)], trees, start)[2] == float("inf")
+    assert pii.fit_trees([])[0] == [] and pii.thresholds([], [], [], 0.0) == [0.0] * 4
 
 
 def test_column_score_is_the_same(spark):

@@ -179,15 +179,23 @@ def _score_of(cell: dict, trees: list[tuple], start: float) -> float:
     return start + sum(leaf(low) if cell[f] <= k else leaf(high) for f, k, low, high in trees)
 
 
-def thresholds(cells: list[dict], trees: list[tuple], start: float) -> list[float]:
-    """Per kind the lowest score from which on the share of positives is at least PRECISION; no candidates of a kind: zero."""
+def thresholds(cells: list[dict], held: list[dict], trees: list[tuple], start: float) -> list[float]:
+    """Per kind the lowest score from which on PRECISION holds among the held-out candidates.
+
+    Shares are taken with one success and one failure more, so that a few candidates prove nothing. Where no candidate of a kind fails,
+    nothing speaks against its format: the least score (zero without candidates).
+    """
     out = []
     for kind in range(len(KINDS)):
-        rows = sorted(((_score_of(c, trees, start), c["positive"], c["negative"]) for c in cells if c["kind"] == kind), reverse=True)
-        best, p, n = (0.0 if not rows else float("inf")), 0, 0
+        rows = sorted(((_score_of(c, trees, start), c["positive"], c["negative"]) for c in held if c["kind"] == kind), reverse=True)
+        mine = [c for c in cells if c["kind"] == kind]
+        if not any(c["negative"] for c in mine):
+            out.append(min((_score_of(c, trees, start) for c in mine), default=0.0))
+            continue
+        best, p, n = float("inf"), 0, 0
         for i, (s, a, b) in enumerate(rows):
             p, n = p + a, n + b
-            if (i + 1 == len(rows) or rows[i + 1][0] < s) and p >= PRECISION * (p + n):
+            if (i + 1 == len(rows) or rows[i + 1][0] < s) and p + 1 >= PRECISION * (p + n + 2):
                 best = s
         out.append(best)
     return out
@@ -200,7 +208,7 @@ def fit(found: DataFrame, col: str = "candidates") -> tuple[list[tuple], float,
         F.count_if(F.col("c.valid")).alias("positive"), F.count_if(~F.col("c.valid")).alias("negative"))
     cells = sorted((r.asDict() for r in counted.collect()), key=lambda c: [c[f] for f in FEATURES] + [c["held"]])
     trees, start = fit_trees([c for c in cells if not c["held"]])
-    return trees, start, thresholds([c for c in cells if c["held"]] or cells, trees, start)
+    return trees, start, thresholds(cells, [c for c in cells if c["held"]], trees, start)
 
 
 def _sorted(spans: Column) -> Column:
