@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tripmarts import lineage
-from tripmarts.llm.common import id_and_text, map_columns
+from tripmarts.llm.common import id_and_text, map_columns, slices
 
 PIECE_BYTES = 8192
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 WORDS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: White space besides blank, tab and line ends: such texts go to the library whole.
 OTHER_SPACE = re.compile("[" + "".join(map(chr, [11, 12, *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]")
@@ -234,7 +234,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([bpe.decode(x or b"") for x in b.column(at).to_pylist()], pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)

@@ -28,6 +28,17 @@ def fresh_name(taken: Iterable[str], wish: str) -> str:
     return wish
 
 
+#: Rows that a task turns into Python objects at once.
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that a worker holds few texts besides the batch it was given."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def map_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list[pa.Array]]], fields: list[StructField],
                 drop_text: bool = False) -> DataFrame:
     """Append columns computed from a text column, batch by batch inside the tasks.
@@ -41,9 +52,7 @@ def map_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             new = work([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + new, names=schema.names)
 

@@ -41,11 +41,11 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from tripmarts import lineage
 from tripmarts.llm.bpe import byte_letters, load
-from tripmarts.llm.common import id_and_text
+from tripmarts.llm.common import id_and_text, slices
 
 FRAME_BYTES = 1 << 20
 FILE_BYTES = 256 << 20
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 NO_ID = -(1 << 63)
 
@@ -231,7 +231,7 @@ def _writer(folder: str, path: str, end_id: int, frame_bytes: int, file_bytes: i
             row = (part, seq, name, out.documents, out.tokens, out.size)
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=MANIFEST.names)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if out is None:
                     name = f"{folder}/{part:06d}-{seq:04d}-{uuid.uuid4().hex[:12]}.tokens"
