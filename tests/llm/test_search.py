@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tripmarts.llm import search
@@ -51,12 +52,13 @@ def test_pruning_loses_nothing():
         texts.append(texts[-1] if i % 9 == 0 and texts else t)
         built.add(i // 2, texts[-1])
     df = Counter(t for x in texts for t in set(x.split()))
-    shard = search.Shard(built.arrays(), 700, sum(len(t.split()) for t in texts) / 700)
+    names = sorted(df)
+    shard = search.Shard(built.arrays(), pa.array(names), np.array([df[t] for t in names], float), 700, sum(len(t.split()) for t in texts) / 700)
     for text in texts[:80]:
-        terms = [(t, df[t]) for t in sorted(set(text.split()))]
+        terms = np.array([names.index(t) for t in set(text.split())])
         total = np.zeros(700)
-        for t, d in terms:
-            docs, impact, _ = shard.postings(t, d)
-            total[docs] += impact
+        for i in shard.number[terms]:
+            a, b = shard.first[i], shard.first[i + 1]
+            total[shard.doc[a:b]] += shard.impact[a:b]
         want = sorted(((-int(total[i]), i // 2) for i in range(700) if total[i]))[:7]
         assert [(-s, i) for i, s in shard.search(terms, 7)] == want

@@ -7,7 +7,7 @@ so sums don't depend on their order, equal texts have equal scores, and shards m
 * A shard is what one task reads, at most SHARD_DOCS documents at a time: postings by term, in document order. Shards are files in
   the shared folder, their manifest is checkpointed, so a lost executor only loses what it was writing.
 * Document frequencies are summed over all shards and joined to the terms of the queries; queries are stored in files of bounded
-  size. Each (shard, query file) pair is one task's work. Neither queries nor terms pass through the driver or a broadcast.
+  size. A shard and a few query files are one task's work. Neither queries nor terms pass through the driver or a broadcast.
 * Within a shard, block-max WAND for all documents at once: rare terms are added up; the k best of these, scored in full, give the
   threshold. Terms whose largest impacts together stay below it can't bring in a document alone and aren't read through; others
   are added up too. For a document, what the unread terms can add is bounded by their largest impact in its block of BLOCK documents.
@@ -27,19 +27,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tripmarts import lineage
-from tripmarts.llm.common import id_and_text
+from tripmarts.llm.common import SLICE_ROWS, id_and_text, slices
 from tripmarts.llm.token_files import file_system
 
 K1, B, UNIT = 1.2, 0.75, 65536
 BLOCK = 64
-SHARD_DOCS, SHARD_CHARS = 32_768, 1 << 27
-#: Queries of a file at most.
-QUERY_ROWS = 4096
+SHARD_DOCS, SHARD_CHARS = 16_384, 1 << 26
+#: Queries of a file at most, and files that one task takes.
+QUERY_ROWS, QUERY_FILES = 4096, 4
 #: Terms in at most this share of a shard's documents are added up at once.
 RARE = 1 / 16
 TERM = re.compile(r"[^\W_]+")
@@ -102,79 +103,66 @@ class Builder:
 
 
 class Shard:
-    """An index ready to search, with the global number of documents and mean length."""
+    """An index ready to search for the terms of a query file, which are named by their place in `terms`.
 
-    def __init__(self, arrays: dict[str, np.ndarray], documents: int, mean: float):
+    df: document frequencies of the terms; documents, mean: global number of documents and mean length.
+    """
+
+    def __init__(self, arrays: dict[str, np.ndarray], terms: pa.Array, df: np.ndarray, documents: int, mean: float):
         words = arrays["vocabulary"].tobytes().decode()
-        self.number = {t: i for i, t in enumerate(words.split("\n"))} if words else {}
-        self.first, self.doc = arrays["first"], arrays["doc"]
+        vocabulary = pa.array(words.split("\n") if words else [], pa.string())
+        self.number = pc.fill_null(pc.index_in(terms, vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first, self.doc = arrays["first"].astype(np.int64), arrays["doc"]
         self.ids, self.no_id, self.size = arrays["id"], arrays["no_id"], len(arrays["id"])
+        n, sizes = len(vocabulary), np.diff(self.first)
+        asked = self.number >= 0
+        idf = np.zeros(n)
+        idf[self.number[asked]] = np.log(1 + (documents - df[asked] + 0.5) / (df[asked] + 0.5))
         tf = arrays["tf"].astype(np.float64)
-        self.part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * arrays["length"] / max(mean, 1e-9))[self.doc])
-        self.documents = documents
-        self.lists: dict[str, tuple[np.ndarray, np.ndarray, float]] = {}
-        self.tops: dict[str, np.ndarray] = {}
-
-    def postings(self, term: str, df: int) -> tuple[np.ndarray, np.ndarray, float]:
-        """Documents, impacts and the largest impact of a term that the shard has."""
-        found = self.lists.get(term)
-        if found is None:
-            i = self.number[term]
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * arrays["length"] / max(mean, 1e-9))[self.doc])
+        del tf
+        self.impact = np.floor(np.repeat(idf, sizes) * part * UNIT + 0.5)
+        del part
+        self.top = np.maximum.reduceat(self.impact, self.first[:-1]) if n else np.zeros(0)
+        # terms that many documents have, of these queries: a row of impacts each, and the largest of each block of documents
+        common = np.flatnonzero((sizes > max(1.0, self.size * RARE)) & (idf > 0))
+        self.row = np.full(n, -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.size), np.int32)
+        for r, i in enumerate(common.tolist()):
             a, b = self.first[i], self.first[i + 1]
-            idf = np.log(1 + (self.documents - df + 0.5) / (df + 0.5))
-            impact = np.floor(idf * self.part[a:b] * UNIT + 0.5)
-            found = self.lists[term] = (self.doc[a:b], impact, float(impact.max()))
-        return found
-
-    def block_tops(self, term: str, df: int) -> np.ndarray:
-        """Largest impact of a term in each block of documents."""
-        out = self.tops.get(term)
-        if out is None:
-            docs, impact, _ = self.postings(term, df)
-            out = np.zeros(-(-self.size // BLOCK))
-            np.maximum.at(out, docs // BLOCK, impact)
-            self.tops[term] = out
-        return out
-
-    def search(self, terms: list[tuple[str, int]], k: int) -> list[tuple[int | None, int]]:
-        """The k best (id, units) for the (term, document frequency) pairs of a query."""
-        known = [(t, df, *self.postings(t, df)) for t, df in terms if t in self.number]
-        if not known or not self.size:
+            self.rows[r, self.doc[a:b]] = self.impact[a:b]
+        self.tops = np.maximum.reduceat(self.rows, np.arange(0, self.size, BLOCK), axis=1) if self.size else self.rows
+        self.largest = self.top[common]
+
+    def search(self, terms: np.ndarray, k: int) -> list[tuple[int | None, int]]:
+        """The k best (id, units) for the distinct terms of a query."""
+        known = self.number[terms]
+        known = known[known >= 0]
+        if not len(known):
             return []
-        limit = max(1.0, self.size * RARE)
-        rest = sorted((x for x in known if len(x[2]) > limit), key=lambda x: x[4])
-        read = [x for x in known if len(x[2]) <= limit]
-        total = np.zeros(self.size)
-
-        def add(lists: list) -> None:
-            nonlocal total
-            if lists:
-                total = total + np.bincount(np.concatenate([x[2] for x in lists]), np.concatenate([x[3] for x in lists]), self.size)
+        rows = self.row[known]
+        rare, rest = known[rows < 0], rows[rows >= 0]
+        start, n = self.first[rare], self.first[rare + 1] - self.first[rare]
+        ends = np.cumsum(n)
+        at = np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        total = np.bincount(self.doc[at], self.impact[at], self.size)
 
         def full(docs: np.ndarray) -> np.ndarray:
-            out = total[docs]
-            for _, _, d, impact, _ in rest:
-                at = np.searchsorted(d, docs)
-                at[at == len(d)] = 0
-                out = out + np.where(d[at] == docs, impact[at], 0.0)
-            return out
-
-        add(read or rest)
-        if not read:
-            rest = []
-        touched = np.flatnonzero(total)
-        best = touched[np.argpartition(-total[touched], k - 1)[:k]] if len(touched) > k else touched
-        least = float(full(best).min()) if len(best) == k else 0.0
-        bound = sum(x[4] for x in rest)
-        more = []
-        while rest and bound >= least:
-            more.append(rest.pop())
-            bound -= more[-1][4]
-        add(more)
-        reach = total
-        if rest:
-            blocks = np.sum([self.block_tops(t, df) for t, df, *_ in rest], axis=0)
-            reach = total + np.repeat(blocks, BLOCK)[: self.size]
+            return total[docs] + self.rows[np.ix_(rest, docs)].sum(axis=0, dtype=np.int64)
+
+        # the k best by rare terms, scored in full, give a threshold
+        least = 0.0
+        if len(rare) and self.size > k:
+            best = np.argpartition(-total, k - 1)[:k]
+            least = float(full(best).min()) if total[best].min() > 0 else 0.0
+        # common terms that together stay below it are left unread, the ones with the smallest impacts first
+        rest = rest[np.argsort(self.largest[rest], kind="stable")]
+        unread = int(np.searchsorted(np.cumsum(self.largest[rest]), least, "left"))
+        total = total + self.rows[rest[unread:]].sum(axis=0, dtype=np.int64)
+        rest = rest[:unread]
+        # a block in which even the largest impacts stay below is out, then a document
+        reach = total + np.repeat(self.tops[rest].sum(axis=0, dtype=np.int64), BLOCK)[: self.size]
         docs = np.flatnonzero((reach >= least) & (total > 0))
         scores = full(docs)
         if len(docs) > k:
@@ -193,7 +181,7 @@ def _build(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             _store(name, built.arrays())
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, len(built.ids), sum(built.lengths))], names=SHARD.names)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 built.add(doc_id, text)
                 if len(built.ids) >= SHARD_DOCS or built.chars >= SHARD_CHARS:
@@ -223,22 +211,31 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(k: int, documents: int, mean: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (shard file, query files): each query file against the shard."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
-        at, shard = None, None
         for batch in batches:
-            for name, queries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if name != at:
-                    at, shard = name, Shard(_load(name), documents, mean)
-                store, path = file_system(queries)
-                for part in pq.ParquetFile(path, filesystem=store).iter_batches(256):
-                    rows = []
-                    for query, found in zip(part.column("query").to_pylist(), part.column("found").to_pylist(), strict=True):
-                        rows += [(query, doc, units) for doc, units in shard.search([(x["term"], x["df"]) for x in found], k)]
-                    if rows:
-                        q, d, u = zip(*rows, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(u, pa.int64())], names=FOUND.names)
+            for name, files in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                arrays = _load(name)
+                for queries in files:
+                    store, path = file_system(queries)
+                    asked = pq.read_table(path, filesystem=store, columns=["query", "term", "df"])
+                    ids = asked.column("query").to_pylist()
+                    term, df = (asked.column(c).combine_chunks() for c in ("term", "df"))
+                    ends = np.cumsum(pc.list_value_length(term).to_numpy(zero_copy_only=False))
+                    coded = term.flatten().dictionary_encode()
+                    codes = coded.indices.to_numpy(zero_copy_only=False)
+                    frequency = np.zeros(len(coded.dictionary))
+                    frequency[codes] = df.flatten().to_numpy(zero_copy_only=False)
+                    shard = Shard(arrays, coded.dictionary, frequency, documents, mean)
+                    starts = np.append(0, ends[:-1])
+                    for at in range(0, len(ids), SLICE_ROWS):
+                        part = range(at, min(at + SLICE_ROWS, len(ids)))
+                        rows = [(ids[i], doc, units) for i in part for doc, units in shard.search(codes[starts[i]:ends[i]], k)]
+                        if rows:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=FOUND.names)
     return run
 
 
@@ -249,16 +246,21 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", t
     rows = id_and_text(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), "text_")
     shards = lineage.cut(rows.mapInArrow(_build(folder), SHARD))
     stats = shards.agg(F.sum("documents").alias("n"), F.sum("terms").alias("terms"), F.count("*").alias("shards")).first()
-    documents, mean = stats["n"] or 0, (stats["terms"] or 0) / max(1, stats["n"] or 0)
-    df = shards.select("file").repartition(max(1, stats["shards"])).mapInArrow(_frequencies, FREQUENCY).groupBy("term").agg(F.sum("df").alias("df"))
+    documents, mean, n = stats["n"] or 0, (stats["terms"] or 0) / max(1, stats["n"] or 0), max(1, stats["shards"])
+    df = shards.select("file").repartitionByRange(n, "file").mapInArrow(_frequencies, FREQUENCY).groupBy("term").agg(F.sum("df").alias("df"))
     asked = id_and_text(queries, query_col, query_text_col).select(F.col(query_col).cast("long").alias("query"), "text_").where("query IS NOT NULL").groupBy("query").agg(F.min("text_").alias("text_"))
     terms = asked.mapInArrow(_query_terms, StructType([FOUND["query"], StructField("terms", ArrayType(StringType()))])).select("query", F.explode("terms").alias("term"))
-    ready = terms.join(df, "term").groupBy("query").agg(F.collect_list(F.struct("term", "df")).alias("found"))
-    ready.write.option("maxRecordsPerFile", QUERY_ROWS).parquet(f"{folder}/queries")
-    files = [f for f in spark.read.parquet(f"{folder}/queries").inputFiles()]
-    pairs = shards.select("file").withColumn("queries", F.explode(F.array(*[F.lit(f) for f in files]))) if files else shards.select("file", F.lit("").alias("queries")).limit(0)
-    dealt = pairs.repartition(max(1, stats["shards"]), "file").sortWithinPartitions("file")
-    found = dealt.mapInArrow(_search(k, documents, mean), FOUND)
+    # both sides grow with the input, whatever the planner guesses of them: no broadcast
+    ready = terms.hint("merge").join(df.hint("merge"), "term").groupBy("query").agg(F.collect_list(F.struct("term", "df")).alias("found"))
+    ready = lineage.cut(ready.select("query", F.col("found.term").alias("term"), F.col("found.df").alias("df")))
+    files = -(-ready.count() // QUERY_ROWS)
+    if not files:
+        return spark.createDataFrame([], f"query_id bigint, rank bigint, `{id_col}` bigint, score double")
+    ready.repartition(files).write.option("maxRecordsPerFile", QUERY_ROWS).parquet(f"{folder}/queries")
+    names = sorted(spark.read.parquet(f"{folder}/queries").inputFiles())
+    groups = F.array(*[F.array(*[F.lit(f) for f in names[i:i + QUERY_FILES]]) for i in range(0, len(names), QUERY_FILES)])
+    work = shards.select("file", F.explode(groups).alias("queries")).repartitionByRange(n * -(-len(names) // QUERY_FILES), "file", "queries")
+    found = work.mapInArrow(_search(k, documents, mean), FOUND)
     order = Window.partitionBy("query").orderBy(F.desc("units"), F.col("doc").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("long").alias("rank"), F.col("doc").alias(id_col), (F.col("units") / UNIT).cast("double").alias("score"))
