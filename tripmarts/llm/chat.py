@@ -65,12 +65,15 @@ def chosen_paths(tree: DataFrame, branches: int = 1) -> DataFrame:
     leaves = state.join(children, (F.col("c") == F.col("pc")) & (F.col("node") == F.col("pn")), "left_anti").select("c", "node")
     jumps = []
     rounds = 1 + math.ceil(math.log2(max(2, nodes.count())))
-    while len(jumps) < rounds and not (going := state.where("up IS NOT NULL").select("c", "node", "up")).isEmpty():
-        jumps.append(going)
-        above = state.select(F.col("c").alias("pc"), F.col("node").alias("pn"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        state = lineage.cut(state.join(above, (F.col("c") == F.col("pc")) & (F.col("up") == F.col("pn")), "left").select(
-            "c", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")))
-    done = state.where("up IS NULL").select("c", "node", "depth", "total")
+    # messages whose root is found are done and are only looked up; the others double their step
+    going, done = state.where("up IS NOT NULL"), state.where("up IS NULL")
+    while len(jumps) < rounds and not going.isEmpty():
+        jumps.append(going.select("c", "node", "up"))
+        above = going.unionByName(done).select(F.col("c").alias("pc"), F.col("node").alias("pn"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        state = lineage.cut(going.join(above, (F.col("c") == F.col("pc")) & (F.col("up") == F.col("pn"))).select(
+            "c", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")))
+        going, done = state.where("up IS NOT NULL"), done.unionByName(state.where("up IS NULL"))
+    done = done.select("c", "node", "depth", "total")
     ranked = leaves.join(done, ["c", "node"]).withColumn("path", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("total"), F.desc("depth"), "node")))
     marked = lineage.cut(ranked.where(F.col("path") <= branches).select("c", "node", "path"))
     for jump in jumps:
