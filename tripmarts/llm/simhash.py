@@ -143,16 +143,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row of docs for each component, with all its columns: least id (rows without id last), then least text hash, then least row.
+def row_of_each(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The least row of docs for each row (id, tie) of kept, with all its columns; tie is the text's hash.
 
     Repeats of a row are combined inside the map tasks, so a row that fills a third of the table does not meet in one task.
     """
     hashed = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    slim = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text_"))
-    slim = lineage.cut(with_fingerprint(slim, "text_", "fp", width, drop_text=True).toDF("id", "tie", "fp"))
-    kept = classes(slim).select("least.*").distinct()
     rows = docs.select(docs[id_col].alias("id"), hashed.alias("tie"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     one = rows.groupBy("id", "tie").agg(F.min("row").alias("row"))
     same = one["id"].eqNullSafe(kept["id"]) & (one["tie"] == kept["tie"])
     return one.join(kept, same, "left_semi").select("row.*")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """One row of docs for each component, with all its columns: least id (rows without id last), then least text hash, then least row."""
+    slim = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text_"))
+    slim = lineage.cut(with_fingerprint(slim, "text_", "fp", width, drop_text=True).toDF("id", "tie", "fp"))
+    return row_of_each(docs, classes(slim).select("least.*").distinct(), id_col, text_col)
