@@ -61,3 +61,13 @@ def test_awkward_rows_and_several_blocks(spark, docs, empty, make_prose, monkeyp
     bad = {3, 9}
     assert kept.count() == sum(not (r["doc_id"] in bad or r["text"] in (make_prose(3, 60), make_prose(6, 30))) for r in rows)
     assert D.leaks(empty, bench).count() == 0 and D.leaks(docs, bench.limit(0)).count() == 0 and D.keep_clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_every_quote_of_a_passage_length_is_found(make_prose):
+    item = make_prose(77, 60)
+    c = "".join(map(chr, D.characters(item)))
+    passages = D.Passages.of([(0, D.characters(item))])
+    quotes = [c[o:o + n] for n in (64, 75) for o in range(len(c) - n + 1)]
+    texts = ["#" * 40 + q.strip() + "#" * 40 for q in quotes]
+    found = {d for d, *_ in passages.search(texts)}
+    assert [q for d, q in enumerate(quotes) if len(q.strip()) >= 64 and d not in found] == []

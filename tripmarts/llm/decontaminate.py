@@ -2,7 +2,8 @@
 
 Texts and items are lower-cased and white space is one blank. An item is searched in passages of PASSAGE characters, one each STRIDE
 (an item of up to PASSAGE characters is one passage), so that parts of items are found too. A passage of length m leaks into a document
-if the document has a stretch within k = m * EDIT_SHARE edits of it (insertions, deletions, substitutions).
+if the document has a stretch within k = m * EDIT_SHARE edits of it (insertions, deletions, substitutions). Every verbatim quote of at
+least PASSAGE characters of an item is found: some passage starts at most STRIDE / 2 characters from it, and these are within k.
 
 1. Characters are folded to a byte, Q of them are one integer; a bit table tells the few positions that have a q-gram of any passage.
 2. Each of these gives its (passage, diagonal) places. Hits are counted in overlapping diagonal bands: BAND diagonals and the k after
@@ -35,7 +36,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from tripmarts.llm.common import fresh_name, id_and_text, map_columns, slices
 
 Q, LEAST, EDIT_SHARE = 8, 4, 0.1
-PASSAGE, STRIDE, BAND = 64, 32, 16
+PASSAGE, STRIDE, BAND = 64, 12, 16
 BLOCK_CHARS = 1 << 20
 #: Characters of documents that are worked on at once (a longer document is a block of its own).
 TEXT_CHARS = 1 << 20
