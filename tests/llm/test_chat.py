@@ -2,7 +2,7 @@
 
 import random
 
-from tripmarts.llm import chat
+from tripmarts.llm import chat, queries
 
 TREE = "conv int, node string, parent string, role string, text string, score double, fp string"
 
@@ -60,3 +60,10 @@ def test_awkward_rows(spark):
     assert [[t["text"] for t in r["turns"]] for r in chat.read_back(chat.format_chats(circle)).collect()] == [["z"]]
     plan = chat.read_back(chat.format_chats(circle))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_query_formats_every_row(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "c"), (1, 2, "user", "d"), (None, 0, "user", "n"), (None, None, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in queries.op6_chat(spark, str(tmp_path)).collect()}
+    assert {c: r["n_turns"] for c, r in got.items()} == {1: 5, None: 2, -7: 2} and got[1]["loss_chars"] == 2

@@ -53,6 +53,15 @@ def replies_in_order(rows: DataFrame, conv_col: str, turn_col: str, role_col: st
     return nodes.join(before, (nodes["c"] == before["c2"]) & nodes["turn"].eqNullSafe(before["turn2"])).select(F.col("c.conv").alias("conv"), "node", "parent", "role", "text", F.lit(1.0).alias("score"))
 
 
+def rows_in_order(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """Every row as a message that answers the row before: by turn, then hash; equal rows are messages of their own."""
+    flat = rows.select(F.struct(rows[conv_col].alias("conv")).alias("c"), rows[turn_col].alias("turn"), F.coalesce(rows[role_col].cast("string"), F.lit("")).alias("role"),
+                       F.coalesce(rows[text_col].cast("string"), F.lit("")).alias("text"))
+    nodes = flat.withColumn("h", F.sha2(F.concat_ws("\n", F.sha2("role", 256), F.sha2("text", 256)), 256))
+    nodes = nodes.withColumn("node", F.row_number().over(Window.partitionBy("c").orderBy("turn", "h")).cast("long"))
+    return nodes.select(F.col("c.conv").alias("conv"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
+
+
 def chosen_paths(tree: DataFrame, branches: int = 1) -> DataFrame:
     """(c, node, path, depth) of each message on a chosen path; c is the conversation in a struct, path the rank of the branch."""
     flat = tree.select(F.struct("conv").alias("c"), F.struct("node").alias("node"), F.struct("parent").alias("parent"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))

@@ -60,7 +60,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = F.lit(r"\### Assistant: </turn> ok")
     extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    tree = chat.replies_in_order(rows.unionByName(extra), "conv_id", "turn", "role", "text")
+    tree = chat.rows_in_order(rows.unionByName(extra), "conv_id", "turn", "role", "text")
     back = chat.read_back(chat.format_chats(tree))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(F.col("conv").cast("long").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
