@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripmarts import lineage
-from tripmarts.llm import bpe, chat, decontaminate, pii, quality, search, simhash, token_counts, token_files, toxicity
+from tripmarts.llm import bpe, chat, decontaminate, filter_audit, infill, packing, pii, quality, search, simhash, token_counts, token_files, toxicity
 from tripmarts.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,72 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "toxic"), folds=4, held_out=2, threshold=0.3)
+
+
+@query
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.infill(read_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "infill.*")
+    cut = infill.parts(F.col("output"), F.col("form"))
+    read = made.select("doc_id", "n", "form", "output", F.length(cut["prefix"]).cast("long").alias("prefix_chars"), F.length(cut["middle"]).cast("long").alias("middle_chars"),
+                       infill.restored(F.col("output"), F.col("form")).alias("restored"))
+    return read.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+ORACLES["op11_infill"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+draws AS (SELECT *, len(units) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS r FROM d),
+cuts AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain'
+      WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+three AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM three"""
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    pieces = packing.pack(docs, lineage.shared_folder(spark, "packing"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+f AS (
+  SELECT doc_id, part, [CASE WHEN len(words) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' END,
+    CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > first_id THEN 'E' END] AS marks,
+    coalesce(quality, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d JOIN firsts USING (text) LEFT JOIN labels USING (doc_id)),
+fails AS (SELECT part, list_filter(marks, lambda m: m IS NOT NULL) AS failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || e.x || g.x AS filter_order FROM letters a, letters b, letters c, letters e, letters g
+  WHERE len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+places AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS x, string_split(substr(filter_order, 1, step - 1), '') AS before FROM orders, range(1, 6) AS r(step)),
+cells AS (
+  SELECT part, filter_order, step, x,
+    sum(CASE WHEN list_has_any(failed, before) OR list_contains(failed, x) THEN 0 ELSE n END) AS kept,
+    sum(CASE WHEN list_contains(failed, x) AND NOT list_has_any(failed, before) THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN list_contains(failed, x) AND list_has_any(failed, before) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = [x] THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN list_contains(failed, x) AND NOT list_has_any(failed, before) THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN list_contains(failed, x) AND NOT list_has_any(failed, before) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM fails, places GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM cells"""
