@@ -5,11 +5,11 @@ import struct
 
 import public_tokenizers
 from pyspark.sql import functions as F
+from test_near_copies import least_of
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from tripmarts.llm import simhash
 from tripmarts.llm.common import read_table
 
 SF = "/root/testdata/sf0.01"
@@ -25,8 +25,7 @@ def test_stages_in_order(spark):
         old, new = {r["doc_id"]: r for r in before.collect()}, {r["doc_id"]: r for r in after.collect()}
         assert set(new) <= set(old)
         if name == "simhash":
-            groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(before).collect()}
-            assert set(new) == set(groups.values())
+            assert sorted(map(repr, new)) == least_of(list(old.values()))
         if name == "decontamination":
             items = [" ".join(r["text"].lower().split()) for r in read_table(spark, SF, "benchmark").collect()]
             holds = {i for i, r in old.items() if any(t in " ".join((r["text"] or "").lower().split()) for t in items)}
@@ -58,4 +57,4 @@ def test_awkward_documents_pass(spark, docs):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))

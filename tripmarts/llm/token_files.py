@@ -25,12 +25,11 @@ from __future__ import annotations
 
 import re
 import struct
-import unicodedata
 import uuid
 from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tripmarts import lineage
-from tripmarts.llm.bpe import byte_letters, load
 from tripmarts.llm.common import id_and_text, slices
+from tripmarts.llm.word_ids import word_ids
 
 FRAME_BYTES = 1 << 20
 FILE_BYTES = 256 << 20
-CACHE_PIECES = 300_000
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 NO_ID = -(1 << 63)
 
@@ -53,46 +51,6 @@ MANIFEST = StructType([StructField("part", LongType()), StructField("seq", LongT
                        StructField("documents", LongType()), StructField("tokens", LongType()), StructField("bytes", LongType())])
 
 
-class WordBpe(dict):
-    """Text between ASCII white space (bytes) -> its ids. The vocabulary drops white space, so a text is its pieces in a row."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.tok = load(path)
-        self.model = self.tok.model
-        self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
-        self.width = array(self.code).itemsize
-        letters = byte_letters()
-        self.to_letters = {b: letters[b] for b in range(256)}
-
-    def word(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.to_letters))]
-
-    def __missing__(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        word, end = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
-        low = word.lower() if word.isascii() else "".join(map(str.lower, word))
-        if low.isalpha() and len(low) == len(word) and (word.isascii() or unicodedata.is_normalized("NFC", word)):
-            ids = self.word(low) + (self.word(end) if end else [])
-        else:
-            ids = self.tok.encode(text, add_special_tokens=False).ids
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        out = array(self.code, ids).tobytes()
-        if len(piece) <= 256:
-            self[piece] = out
-        return out
-
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-@lru_cache(maxsize=2)
-def word_bpe(path: str) -> WordBpe:
-    """Kept by the worker from task to task."""
-    return WordBpe(path)
-
-
 def file_system(uri: str):
     """The Arrow file system and the path for a folder or file of the cluster's shared store."""
     from pyarrow import fs
@@ -223,8 +181,8 @@ class TokenFile:
 
 def _writer(folder: str, path: str, end_id: int, frame_bytes: int, file_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, seq, out, name = word_bpe(path), TaskContext.get().partitionId(), 0, None, ""
-        end = array(bpe.code, [end_id]).tobytes()
+        bpe, part, seq, out, name = word_ids(path), TaskContext.get().partitionId(), 0, None, ""
+        end = bpe.dtype(end_id).tobytes()
 
         def finished() -> pa.RecordBatch:
             out.close()
@@ -232,14 +190,17 @@ def _writer(folder: str, path: str, end_id: int, frame_bytes: int, file_bytes: i
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=MANIFEST.names)
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if out is None:
-                    name = f"{folder}/{part:06d}-{seq:04d}-{uuid.uuid4().hex[:12]}.tokens"
-                    out = TokenWriter(name, bpe.width, frame_bytes)
-                out.add(doc_id, bpe.encode(text) + end)
-                if out.size >= file_bytes:
-                    yield finished()
-                    out, seq = None, seq + 1
+            doc_ids = iter(batch.column(0).to_pylist())
+            for n, ids, counts in bpe.encode(batch.column(1).cast(pa.string())):
+                ends = np.cumsum(counts)
+                for doc_id, first, last in zip(islice(doc_ids, n), (ends - counts).tolist(), ends.tolist(), strict=True):
+                    if out is None:
+                        name = f"{folder}/{part:06d}-{seq:04d}-{uuid.uuid4().hex[:12]}.tokens"
+                        out = TokenWriter(name, bpe.dtype().itemsize, frame_bytes)
+                    out.add(doc_id, ids[first:last].tobytes() + end)
+                    if out.size >= file_bytes:
+                        yield finished()
+                        out, seq = None, seq + 1
         if out is not None:
             yield finished()
     return run
