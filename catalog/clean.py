@@ -46,7 +46,7 @@ _OUT = {"yellow": "l_orderkey l_linenumber tpep_pickup_datetime:ts PULocationID
         "fhv": "l_orderkey l_linenumber pickup_datetime:ts PUlocationID DOlocationID dispatching_base_num:str",
         "fhvhv": "l_orderkey l_linenumber pickup_datetime:ts PULocationID trip_miles:real trip_time base_passenger_fare:real source_month:date"}
 for _f, _t in FAMILIES.items():
-    # One row in seven is a copy in this raw table, so its rows are shuffled once instead of their hashes.
+    # One row in seven is a copy in this raw table, so rows are shuffled once.
     register(f"clean_{_f}", _OUT[_f], f"SELECT * FROM clean_{_f}")(
         lambda spark, d, f=_f, t=_t: C.clean(T(t)(spark, d), f, years=YEARS))
     register(f"validate_{_f}", "rows violations unknown", f"""
@@ -62,7 +62,7 @@ LEFT JOIN (SELECT source_month, count(*) AS clean_rows FROM clean_fhvhv GROUP BY
 
 def report(spark, d):
     raw = T("raw_fhvhv")(spark, d)
-    return C.removal_report(raw, C.clean(raw, "fhvhv", scope="source_month"), ["source_month"])
+    return C.counted_report(raw, C.predicate("fhvhv"), ["source_month"])
 
 
 @register("clean_report", "source_month:date raw_rows clean_rows removed removed_pct:real", REPORT)

@@ -1,20 +1,27 @@
 """Sources and sinks: trips are written to the shared folder, drifting as monthly files do, and read back."""
 
+import re
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from catalog import shared
 from catalog.base import T, cte, register
+from catalog.clean import PRED, YEARS
 from tripmarts import lineage
 from tripmarts.operators import clean as C
 from tripmarts.plans import shared as S
 from tripmarts.sources import readers as RD
+from tripmarts.sources.clean_store import CleanStore
+from tripmarts.sources.footers import open_file
+from tripmarts.sources.schemas import FAMILIES, PICKUP
 from tripmarts.sources.store import MartStore
 from tripmarts.streaming import refresh as ST
 
 
 def landed(spark, d):
-    """Trips in one folder per year: the first years without the airport fee, one with whole miles, and one file that is no Parquet."""
+    """Trips in one folder per year: the first years without the airport fee, one with whole miles."""
     folder = lineage.shared_folder(spark, "landing")
     trips = T("fhvhv_trips")(spark, d).withColumn("y", F.year("pickup_datetime"))
     trips.where("y < 1995").drop("airport_fee", "y").write.parquet(f"{folder}/early")
@@ -40,16 +47,106 @@ def q_pruned(spark, d):
     return RD.read_years(spark, folder, [1996, 1997]).groupBy("year", "month").agg(F.count(F.lit(1)).alias("trips"))
 
 
-@register("readable_files", "readable:bool files rows", "SELECT TRUE AS readable, 1 AS files, count(*) AS rows FROM fhvhv_trips UNION ALL SELECT FALSE, 1, 0")
+def put(uri, data):
+    """A small file of given bytes."""
+    from pyarrow import fs
+    system, path = (fs.LocalFileSystem(), re.sub("^file:/*", "/", uri)) if uri.startswith("file:") or "://" not in uri else fs.FileSystem.from_uri(uri)
+    with system.open_output_stream(path, compression=None) as f:
+        f.write(data)
+
+
+def head(uri, n):
+    with open_file(uri) as f:
+        return f.read_at(n, 0)
+
+
+@register("readable_files", "status:str rows complete:bool", """
+SELECT 'readable' AS status, count(*) AS rows, TRUE AS complete FROM fhvhv_trips
+UNION ALL SELECT s, 0, TRUE FROM (VALUES ('empty'), ('foreign'), ('truncated')) AS v(s)""")
 def q_status(spark, d):
     folder = lineage.shared_folder(spark, "status")
-    T("fhvhv_trips")(spark, d).coalesce(1).write.parquet(folder)
-    bad = lineage.shared_folder(spark, "bad")
-    spark.range(1).select(F.lit("no parquet").alias("value")).coalesce(1).write.text(bad)
-    schema = T_.StructType([T_.StructField("trip_time", T_.LongType())])
-    good = RD.file_status(spark, folder, schema)
-    broken = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(bad).select("path", "length", F.lit(0).cast("bigint").alias("rows"), F.lit(False).alias("readable"))
-    return good.unionByName(broken).groupBy("readable").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
+    trips = T("fhvhv_trips")(spark, d)
+    trips.write.parquet(f"{folder}/trips")
+    trips.limit(0).write.parquet(f"{folder}/none")  # a valid file without rows
+    written = [f for part in ("trips", "none") for f in spark.read.parquet(f"{folder}/{part}").inputFiles()]
+    put(f"{folder}/trips/cut.parquet", head(written[0], 200))
+    put(f"{folder}/trips/text.parquet", b"no parquet at all")
+    put(f"{folder}/none/empty.parquet", b"")
+    expected = F.when(F.col("status") == "readable", len(written)).otherwise(1)
+    found = RD.file_status(spark, folder, pattern="*.parquet").groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
+    return found.withColumn("complete", F.col("files") == expected)
+
+
+def land(spark, d, family, table, root, names):
+    """Write the rows of a raw table as sources of a family: {name: condition}."""
+    raw = T(table)(spark, d)
+    for name, condition in names.items():
+        RD.conform(raw.where(condition), FAMILIES[family]).write.parquet(f"{root}/{family}/{name}")
+
+
+YEARS_OF_FHVHV = range(1995, 2002)
+_COLUMNS = ", ".join(c for c in FAMILIES["fhvhv"].names)
+cte("yearly_sources", f"SELECT concat('trips_', year(source_month)) AS source, {_COLUMNS} FROM raw_fhvhv")
+cte("yearly_twins", f"SELECT DISTINCT * FROM yearly_sources WHERE {PRED['fhvhv']}")
+
+
+@register("clean_store_rounds", "source:str raw_rows clean_rows removed removed_pct:real round violations", """
+SELECT r.source, raw_rows, clean_rows, raw_rows - clean_rows AS removed, 100.0 * (raw_rows - clean_rows) / raw_rows AS removed_pct,
+  CASE r.source WHEN 'trips_1995' THEN 1 WHEN 'trips_1997' THEN 3 ELSE 2 END AS round, 0 AS violations
+FROM (SELECT source, count(*) AS raw_rows FROM yearly_sources GROUP BY 1) r JOIN (SELECT source, count(*) AS clean_rows FROM yearly_twins GROUP BY 1) c USING (source)""")
+def q_rounds(spark, d):
+    """Three years are cleaned; then the others land, one twin loses its end, one is as an older rule left it; backfill and cleaning again mend all."""
+    folder = lineage.shared_folder(spark, "family")
+    store_ = CleanStore(spark, f"{folder}/raw", f"{folder}/clean", "fhvhv")
+    sources = {f"trips_{y}": F.year("source_month") == y for y in YEARS_OF_FHVHV}
+    land(spark, d, "fhvhv", "raw_fhvhv", f"{folder}/raw", dict(list(sources.items())[:3]))
+    rounds = [store_.backfill()]
+    land(spark, d, "fhvhv", "raw_fhvhv", f"{folder}/raw", dict(list(sources.items())[3:]))
+    some = next(f for f in spark.read.parquet(store_.clean).inputFiles() if "trips_1996" in f)
+    put(f"{store_.clean}/source=trips_1996/part-cut.parquet", head(some, 300))
+    (store_.read_raw(["trips_1997"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(store_.clean))
+    rounds += [store_.backfill(), *store_.reclean()]
+    last = {name: i + 1 for i, names in enumerate(rounds) for name in names}
+    round_of = F.coalesce(*[F.when(F.col("source") == n, i) for n, i in last.items()])
+    return store_.report().join(store_.validate().select("source", "violations"), "source").withColumn("round", round_of)
+
+
+_SPANS = {"early": (None, 1997), "middle": (1997, 1999), "late": (1999, None)}
+_FROM = {"yellow": "yellow_trips", "green": "green_trips", "fhv": "fhv_trips", "fhvhv": "raw_fhvhv"}
+
+
+_METER = ["PULocationID", "DOLocationID", "passenger_count", "payment_type", "trip_distance", "fare_amount", "extra", "mta_tax", "tip_amount", "tolls_amount",
+          "improvement_surcharge", "total_amount", "congestion_surcharge"]
+
+
+def _span_case(ts):
+    return f"CASE WHEN year({ts}) < 1997 THEN 'early' WHEN year({ts}) < 1999 THEN 'middle' ELSE 'late' END"
+
+
+def _family_columns(f):
+    """The columns of the family that its table has."""
+    have = {"yellow": _METER, "green": _METER, "fhv": FAMILIES["fhv"].names, "fhvhv": FAMILIES["fhvhv"].names}[f]
+    return ", ".join([*have, *([f"{'tpep' if f == 'yellow' else 'lpep'}_{end}_datetime" for end in ("pickup", "dropoff")] if have is _METER else [])])
+
+
+for _f, _t in _FROM.items():
+    cte(f"spans_{_f}", f"SELECT {_span_case(PICKUP[_f])} AS source, {_family_columns(_f)} FROM {_t}")
+
+
+@register("clean_store_by_type", "type:str files raw_rows clean_rows removed removed_pct:real", "\nUNION ALL\n".join(f"""
+SELECT type, files, raw_rows, clean_rows, raw_rows - clean_rows AS removed, 100.0 * (raw_rows - clean_rows) / raw_rows AS removed_pct FROM (
+  SELECT '{f}' AS type, (SELECT count(DISTINCT source) FROM spans_{f}) AS files, (SELECT count(*) FROM spans_{f}) AS raw_rows,
+    (SELECT count(*) FROM (SELECT DISTINCT * FROM spans_{f} WHERE {PRED[f]})) AS clean_rows) q""" for f in _FROM))
+def q_by_type(spark, d):
+    folder, reports = lineage.shared_folder(spark, "families"), []
+    for family, name in _FROM.items():
+        y = F.year(PICKUP[family])
+        spans = {s: (F.lit(True) if lo is None else y >= lo) & (F.lit(True) if hi is None else y < hi) for s, (lo, hi) in _SPANS.items()}
+        land(spark, d, family, name, f"{folder}/raw", spans)
+        store_ = CleanStore(spark, f"{folder}/raw", f"{folder}/clean", family, YEARS)
+        store_.backfill()
+        reports.append(store_.report().withColumn("type", F.lit(family)))
+    return C.report_rollup(reduce(lambda a, b: a.unionByName(b), reports), ["type"])
 
 
 def store(spark):

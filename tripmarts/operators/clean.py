@@ -98,6 +98,24 @@ def removal_report(raw: DataFrame, cleaned: DataFrame, by: list[str]) -> DataFra
     return both.withColumns({"removed": removed, "removed_pct": F.try_divide(removed * 100.0, F.col("raw_rows").cast("double"))})
 
 
+def row_hashes(columns: list[str]) -> list[Column]:
+    """Two 64-bit hashes of a row; nulls count at their place."""
+    values = [F.col(f"`{c}`") for c in columns]
+    empty = F.concat(*[F.when(v.isNull(), "1").otherwise("0") for v in values])
+    return [F.xxhash64(empty, *values).alias("_h1"), F.xxhash64(*reversed(values), F.lit(7), empty).alias("_h2")]
+
+
+def counted_report(raw: DataFrame, valid: Column, by: list[str]) -> DataFrame:
+    """Rows before and after cleaning per source in one pass: hashes of rows are shuffled, not rows."""
+    columns = [c for c in raw.columns if c not in by]
+    hashes = row_hashes(columns)
+    kept = [F.when(F.coalesce(valid, F.lit(False)), h).alias(n) for h, n in zip(hashes, ("_h1", "_h2"), strict=True)]
+    groups = raw.select(*by, *kept).groupBy(*by, "_h1", "_h2").agg(F.count(F.lit(1)).alias("n"))
+    out = groups.groupBy(*by).agg(F.sum("n").alias("raw_rows"), F.count("_h1").alias("clean_rows"))
+    removed = F.col("raw_rows") - F.col("clean_rows")
+    return out.withColumns({"removed": removed, "removed_pct": F.try_divide(removed * 100.0, F.col("raw_rows").cast("double"))})
+
+
 def report_rollup(report: DataFrame, by: list[str]) -> DataFrame:
     out = report.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), *[F.sum(c).alias(c) for c in ("raw_rows", "clean_rows", "removed")])
     return out.withColumn("removed_pct", F.try_divide(F.col("removed") * 100.0, F.col("raw_rows").cast("double")))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripmarts.functions.hashing import draw, draw_unit
+from tripmarts.sources.footers import footers
 from tripmarts.sources.schemas import FAMILIES, PICKUP
 
 
@@ -33,12 +32,13 @@ def read_family(spark: SparkSession, family: str, *paths: str, source: bool = Fa
     or change type among the files of one path. `source` keeps the file path as `source_file`.
     """
     schema = FAMILIES[family]
-    files = list(dict.fromkeys(f for p in paths for f in spark.read.parquet(p).inputFiles()))
-    with ThreadPool(16) as pool:  # one footer each
-        found = pool.map(lambda f: spark.read.parquet(f).schema.json(), files)
     groups: dict[str, list[str]] = {}
-    for file, version in zip(files, found, strict=True):
-        groups.setdefault(version, []).append(file)
+    for r in footers(spark, *paths).orderBy("path").collect():  # one small row a file, as Spark itself lists them
+        if r["status"] != "readable":
+            raise ValueError(f"{r['path']} is {r['status']}")
+        groups.setdefault(r["columns"], []).append(r["path"])
+    if not groups:
+        raise FileNotFoundError(f"no files below {', '.join(paths)}")
     out = None
     for same in groups.values():
         raw = spark.read.parquet(*same)
@@ -77,14 +77,9 @@ def sample_fraction(df: DataFrame, key: str, fraction: float) -> DataFrame:
     return df.where(draw_unit("sample", F.col(key)) < fraction)
 
 
-def file_status(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Each file with its size and the rows that could be read; zero rows means corrupt, incomplete or empty."""
-    files = list_files(spark, path)
-    readable = (spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
-                .groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows")))
-    name = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    return (files.withColumn("path", name("path")).join(readable.withColumn("path", name("path")), "path", "left")
-            .select("path", "length", F.coalesce("rows", F.lit(0)).alias("rows")).withColumn("readable", F.col("rows") > 0))
+def file_status(spark: SparkSession, *paths: str, pattern: str | None = None) -> DataFrame:
+    """Each file with its size, its status and the rows of its footer. An empty table is readable and has no rows."""
+    return footers(spark, *paths, pattern=pattern).drop("columns").withColumn("readable", F.col("status") == "readable")
 
 
 def read_good(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
