@@ -190,6 +190,33 @@ def q_refreshed(spark, d):
     schema = raw.schema
     inc = ST.daily_increment("fhvhv")
     for first in (True, False):  # two landings: copies of a trip share its month, so they land together
-        raw.where((F.year("source_month") < 1995) if first else (F.year("source_month") >= 1995)).coalesce(1).write.mode("append").parquet(landing)
-        ST.refresh(spark, landing, schema, inc, out, progress)
+        part = f"{landing}/{'early' if first else 'late'}"
+        raw.where((F.year("source_month") < 1998) if first else (F.year("source_month") >= 1998)).write.parquet(part)
+        files = len(spark.read.parquet(part).inputFiles())
+        ST.refresh(spark, f"{landing}/*", schema, inc, out, progress, files_per_batch=files)
     return ST.current(spark, out, ["date", "provider"], ["trips", "fare", "miles"])
+
+
+@register("stream_refreshed_waits", "month:date provider:str zone trips med_wait_sec:real p90_wait_sec:real avg_wait_sec:real fare:real refreshed_by", """
+WITH w AS (
+  SELECT CAST(date_trunc('month', pickup_datetime) AS DATE) AS month, l_orderkey, PULocationID AS zone, base_passenger_fare,
+    CASE hvfhs_license_num WHEN 'HV0002' THEN 'Juno' WHEN 'HV0003' THEN 'Uber' WHEN 'HV0004' THEN 'Via' WHEN 'HV0005' THEN 'Lyft' END AS provider,
+    date_diff('second', request_datetime, pickup_datetime) AS wait_sec
+  FROM clean_fhvhv WHERE pickup_datetime > request_datetime AND PULocationID IS NOT NULL),
+late AS (SELECT month, max(CASE WHEN l_orderkey % 2 = 1 THEN 1 ELSE 0 END) AS batch FROM w WHERE wait_sec < 3600 AND provider IS NOT NULL GROUP BY 1)
+SELECT month, provider, zone, count(*) AS trips, quantile_cont(wait_sec, .5) AS med_wait_sec, quantile_cont(wait_sec, .9) AS p90_wait_sec,
+  avg(wait_sec) AS avg_wait_sec, sum(base_passenger_fare) AS fare, any_value(CASE WHEN year(month) >= 1999 THEN 2 ELSE batch END) AS refreshed_by
+FROM w JOIN late USING (month) WHERE wait_sec < 3600 AND provider IS NOT NULL GROUP BY month, provider, zone""")
+def q_refreshed_waits(spark, d):
+    """Three landings: even orders, odd orders before 1999 with copies of even ones, and the rest with copies of trips from both other landings."""
+    root, landing = (lineage.shared_folder(spark, n) for n in ("waits", "landing"))
+    trips = T("raw_fhvhv")(spark, d)
+    schema = trips.schema
+    mart = ST.HistogramMart(spark, root, "month", ["provider", "zone"], "wait_sec", ST.wait_measures(), ["fare"])
+    even, late = F.col("l_orderkey") % 2 == 0, F.year("pickup_datetime") >= 1999
+    copies = F.col("l_orderkey") % 7 == 0
+    for i, rows in enumerate([even, (~even & ~late) | (copies & ~late), late]):
+        trips.where(rows).write.parquet(f"{landing}/{i}")
+        files = len(spark.read.parquet(f"{landing}/{i}").inputFiles())
+        mart.refresh(f"{landing}/*", schema, ST.monthly_waits, schema.names, files_per_batch=files)
+    return mart.read()

@@ -117,3 +117,24 @@ def test_a_mart_that_breaks_its_grain_leaves_the_old_one(spark, tmp_path):
     with pytest.raises(ValueError):
         s.write(spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string"), "m", grain=["k"])
     assert [tuple(r) for r in s.read("m").collect()] == [(1, "a")]
+
+
+def test_histogram_mart_counts_copies_once_and_keeps_medians(spark, tmp_path):
+    mart = R.HistogramMart(spark, str(tmp_path / "m"), "month", ["zone"], "wait_sec", R.wait_measures(), ["fare"])
+    jan, feb = dt.date(2024, 1, 1), dt.date(2024, 2, 1)
+    schema = "id long, month date, zone long, wait_sec long, fare double"
+    first = spark.createDataFrame([(1, jan, 5, 10, 1.0), (2, jan, 5, 30, 1.0), (2, jan, 5, 30, 1.0), (3, feb, 5, 7, 1.0)], schema)
+    second = spark.createDataFrame([(2, jan, 5, 30, 1.0), (4, jan, 5, 20, 2.0), (5, jan, 6, 1, None), (6, jan, 5, None, 1.0)], schema)
+
+    def state():
+        return {(r["month"], r["zone"]): (r["trips"], r["med_wait_sec"], r["fare"], r["refreshed_by"]) for r in mart.read().collect()}
+
+    mart.add(first, 0, ["id", "wait_sec"])
+    assert state() == {(jan, 5): (2, 20.0, 2.0, 0), (feb, 5): (1, 7.0, 1.0, 0)}
+    for _ in range(2):  # the second time is a replay
+        mart.add(second, 1, ["id", "wait_sec"])
+        got = state()
+        assert got[jan, 5] == (4, 20.0, 5.0, 1) and got[jan, 6] == (1, 1.0, None, 1) and got[feb, 5] == (1, 7.0, 1.0, 0)
+    mart.add(first, 2, ["id", "wait_sec"])  # nothing new
+    mart.add(first.limit(0), 3, ["id", "wait_sec"])
+    assert state() == got

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmarts import lineage
@@ -210,11 +210,11 @@ def north_star(all_trips: DataFrame) -> DataFrame:
         F.sum("trips").alias("trips"), rows().alias("n_days"), ratio(F.sum("trips"), rows()).alias("avg_daily_trips"))
 
 
-def _metrics(fhvhv: DataFrame) -> DataFrame:
-    """Per trip: year, guarded wait and the three continuous metrics whose yearly medians are reported."""
+def _metrics(fhvhv: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Per trip: year, guarded wait and the three continuous metrics whose yearly medians are reported; more columns on request."""
     wait = X.wait_seconds()
     return fhvhv.select(
-        F.year("pickup_datetime").alias("year"),
+        *(more or []), F.year("pickup_datetime").alias("year"),
         F.when((F.col("pickup_datetime") > F.col("request_datetime")) & (wait < 3600), wait).alias("wait_sec"),
         X.hourly_pay().alias("med_hourly_pay"), F.when(F.col("trip_time") > 60, F.col("driver_pay")).alias("med_pay_per_trip"),
         F.when(F.col("trip_miles") > 0.1, F.col("base_passenger_fare") / F.col("trip_miles")).alias("med_fare_per_mile"))
@@ -262,10 +262,63 @@ def liquidity_by_year(fhvhv: DataFrame) -> DataFrame:
         F.avg(F.col("trips") / F.col("zones")).alias("avg_trips_per_active_zone_hour"), F.avg("zones").alias("avg_active_zones"))
 
 
+#: Bins of the sketch of a continuous metric: their width grows with the value, to some 0.2 % of it.
+BINS = 500
+MEDIANS = ["med_hourly_pay", "med_pay_per_trip", "med_fare_per_mile"]
+
+
+def _bin(value: str) -> Column:
+    """A bin number that grows with the value."""
+    return F.floor(F.asinh(F.col(value) * 1000) * BINS)
+
+
+def yearly_sums(fhvhv: DataFrame) -> DataFrame:
+    """All that yearly metrics need of the trips, in one pass: counts by (day, hour, zone), by (year, wait) and by (year, bin) of each median.
+
+    `kind` tells the relations apart (cells, waits, then MEDIANS); each is combined in the tasks before it is shuffled."""
+    metrics = _metrics(fhvhv.withColumns({"_d": X.day_of("pickup_datetime"), "_h": F.hour("pickup_datetime"), "_r": (F.col("shared_request_flag") == "Y").cast("int"),
+                                          "_m": ((F.col("shared_request_flag") == "Y") & (F.col("shared_match_flag") == "Y")).cast("int")}), ["_d", "_h", "PULocationID", "_r", "_m"])
+    none = F.lit(None)
+    wait = F.struct(F.lit(1).alias("kind"), none.cast("date").alias("d"), none.cast("int").alias("h"), F.col("wait_sec").cast("long").alias("v"), F.lit(0).alias("r"), F.lit(0).alias("m"))
+    bins = [F.struct(F.lit(i + 2).alias("kind"), none.cast("date").alias("d"), none.cast("int").alias("h"), _bin(m).alias("v"), F.lit(0).alias("r"), F.lit(0).alias("m")) for i, m in enumerate(MEDIANS)]
+    cell = F.struct(F.lit(0).alias("kind"), F.col("_d").alias("d"), F.col("_h").alias("h"), F.col("PULocationID").cast("long").alias("v"), F.coalesce("_r", F.lit(0)).alias("r"), F.coalesce("_m", F.lit(0)).alias("m"))
+    long = metrics.select("year", F.explode(F.array(cell, wait, *bins)).alias("x")).select("year", "x.*").where("kind = 0 OR v IS NOT NULL")
+    return long.groupBy("year", "kind", "d", "h", "v").agg(rows().alias("n"), F.sum("r").alias("requested"), F.sum("m").alias("n_matched"))
+
+
+def medians_from_bins(fhvhv: DataFrame, sums: DataFrame) -> DataFrame:
+    """Exact yearly medians: the counts of the bins tell which one or two hold the middle, a second pass counts values in these alone."""
+    bins = sums.where("kind >= 2").select("year", "kind", "v", "n")
+    by = Window.partitionBy("year", "kind")
+    ranked = bins.withColumns({"hi": F.sum("n").over(by.orderBy("v")), "total": F.sum("n").over(by)}).withColumn("lo", F.col("hi") - F.col("n"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    wanted = ranked.where(((F.col("lo") <= low) & (low < F.col("hi"))) | ((F.col("lo") <= high) & (high < F.col("hi"))))
+    middle = wanted.select("year", "kind", "v", F.col("lo").alias("before"), low.alias("low"), high.alias("high"))
+    long = _metrics(fhvhv).select("year", F.explode(F.array(*[F.struct(F.lit(i + 2).alias("kind"), F.col(m).alias("value")) for i, m in enumerate(MEDIANS)])).alias("x"))
+    values = long.select("year", "x.kind", "x.value").where("value IS NOT NULL").withColumn("v", _bin("value"))
+    # at most two bins for a year and metric: Spark broadcasts them by size
+    inside = values.join(middle, ["year", "kind", "v"]).groupBy("year", "kind", "v", "before", "low", "high", "value").agg(rows().alias("n"))
+    placed = inside.withColumn("hi", F.col("before") + F.sum("n").over(Window.partitionBy("year", "kind", "v").orderBy("value"))).withColumn("lo", F.col("hi") - F.col("n"))
+    at = [F.max(F.when((F.col("lo") <= F.col(p)) & (F.col(p) < F.col("hi")), F.col("value"))) for p in ("low", "high")]
+    medians = placed.groupBy("year", "kind").agg((at[0] + (at[1] - at[0]) * 0.5).alias("p50"))
+    return medians.groupBy("year").agg(*[F.max(F.when(F.col("kind") == i + 2, F.col("p50"))).alias(m) for i, m in enumerate(MEDIANS)])
+
+
 def product_metrics_yearly(all_trips: DataFrame, fhvhv: DataFrame, exact: bool = True) -> DataFrame:
+    """All yearly metrics. Exact: one pass over all families for the days, two over the high-volume trips."""
     out = north_star(all_trips)
-    medians = yearly_medians(fhvhv, ["med_hourly_pay", "med_pay_per_trip", "med_fare_per_mile"], exact)
-    for part in (yearly_waits(fhvhv, exact), medians, shared_match_by_year(fhvhv), liquidity_by_year(fhvhv)):
+    if not exact:
+        medians = yearly_medians(fhvhv, MEDIANS, exact)
+        for part in (yearly_waits(fhvhv, exact), medians, shared_match_by_year(fhvhv), liquidity_by_year(fhvhv)):
+            out = out.join(part, "year", "left")
+        return out
+    sums = lineage.cut(yearly_sums(fhvhv))
+    waits = sums.where("kind = 1").groupBy("year").agg(hist_quantile("v", .5).alias("med_wait_sec"), hist_quantile("v", .9).alias("p90_wait_sec"))
+    cells = sums.where("kind = 0")
+    matches = cells.groupBy("year").agg(F.sum("requested").alias("requested"), F.sum("n_matched").alias("n_matched"))
+    hours = cells.groupBy("year", "d", "h").agg(F.sum("n").alias("trips"), rows().alias("zones"))
+    liquid = hours.groupBy("year").agg(F.avg(F.col("trips") / F.col("zones")).alias("avg_trips_per_active_zone_hour"), F.avg("zones").alias("avg_active_zones"))
+    for part in (waits, medians_from_bins(fhvhv, sums), matches, liquid):
         out = out.join(part, "year", "left")
     return out
 
