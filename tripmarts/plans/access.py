@@ -58,24 +58,28 @@ _MONTH_SETS = [["month", "provider", "accessibility_segment"], ["month", "access
 def monthly_metrics(trips: DataFrame) -> DataFrame:
     """Month x provider x segment measures over four grouping sets.
 
-    Additive measures are summed at the finest grain first; medians come from second-level histograms. The
-    grouping-set expansion therefore works on small tables, never on trips.
+    One scan of the trips: additive measures and second-level histograms are combined at the finest grain in one pass, and the
+    grouping-set expansion works on that small table.
     """
     keys = ["month", "provider", "accessibility_segment"]
     econ = F.col("economics_valid")
     timed = econ & (F.col("timestamp_trip_sec") > 0)
     moved = econ & (F.col("trip_miles") > 0)
     minutes = F.col("timestamp_trip_sec") / 60.0
-    base = trips.withColumns({"month": F.col("pickup_month"), "accessibility_segment": X.access_segment()})
-    fine = base.groupBy(*keys).agg(
-        rows().alias("trips"), count_if(F.col("is_wav_request")).alias("wav_request_n"),
-        count_if(F.col("is_wav_request") & F.col("is_wav_trip")).alias("wav_match_n"),
-        count_if(moved).alias("economics_n"), F.sum(F.when(moved, F.col("base_passenger_fare"))).alias("fare_moved"),
-        F.sum(F.when(moved, F.col("trip_miles"))).alias("miles_moved"),
-        F.sum(F.when(timed, F.col("base_passenger_fare"))).alias("fare_timed"), F.sum(F.when(timed, minutes)).alias("min_timed"),
-        count_if(timed).alias("n_timed"), F.sum(F.when(timed, F.col("trip_miles"))).alias("miles_timed"),
-        F.sum(F.when(econ & (F.col("trip_miles") >= 0), F.col("trip_miles"))).alias("miles_econ"), count_if(econ).alias("n_econ"),
-        count_if(econ & (F.col("tips") > 0)).alias("tipped_n"), F.sum(F.when(econ & (F.col("tips") > 0), F.col("tips"))).alias("tip_sum"))
+    def one(cond: Column) -> Column:
+        return F.coalesce(cond, F.lit(False)).cast("long")
+
+    sums = {"trips": F.lit(1).cast("long"), "wav_request_n": one(F.col("is_wav_request")), "wav_match_n": one(F.col("is_wav_request") & F.col("is_wav_trip")),
+            "economics_n": one(moved), "fare_moved": F.when(moved, F.col("base_passenger_fare")), "miles_moved": F.when(moved, F.col("trip_miles")),
+            "fare_timed": F.when(timed, F.col("base_passenger_fare")), "min_timed": F.when(timed, minutes), "n_timed": one(timed),
+            "miles_timed": F.when(timed, F.col("trip_miles")), "miles_econ": F.when(econ & (F.col("trip_miles") >= 0), F.col("trip_miles")), "n_econ": one(econ),
+            "tipped_n": one(econ & (F.col("tips") > 0)), "tip_sum": F.when(econ & (F.col("tips") > 0), F.col("tips"))}
+    flat = trips.select(F.col("pickup_month").alias("month"), "provider", X.access_segment().alias("accessibility_segment"), *[c.alias(n) for n, c in sums.items()],
+                        F.when(F.col("arrival_wait_valid"), F.col("arrival_offset_sec")).alias("arrival"), F.when(F.col("boarding_valid"), F.col("boarding_sec")).alias("boarding"))
+    # a trip counts once with its sums and once in each histogram (kinds 1 and 2, by second)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("long").alias("sec")) for k, c in ((0, F.lit(None)), (1, F.col("arrival")), (2, F.col("boarding")))])
+    spread = flat.select("*", F.explode(kinds).alias("x")).select("*", "x.*").where("kind = 0 OR sec IS NOT NULL")
+    fine = spread.groupBy(*keys, "kind", "sec").agg(rows().alias("n"), *[F.sum(F.when(F.col("kind") == 0, F.col(n))).alias(n) for n in sums])
     s = F.sum
     measures = [
         *[s(c).alias(c) for c in ("trips", "wav_request_n", "wav_match_n", "economics_n", "tipped_n")],
@@ -83,17 +87,12 @@ def monthly_metrics(trips: DataFrame) -> DataFrame:
         ratio(s("miles_econ"), s("n_econ")).alias("mean_miles"), ratio(s("min_timed"), s("n_timed")).alias("mean_duration_min"),
         (ratio(s("miles_timed"), s("min_timed")) * 60).alias("aggregate_speed_mph"),
         (ratio(s("tipped_n"), s("n_econ")) * 100).alias("tipped_share_pct"), ratio(s("tip_sum"), s("tipped_n")).alias("mean_tip_positive")]
-    out = rollup_sets(fine, keys, _MONTH_SETS, measures, {"provider": X.ALL_LABEL})
-    for valid, value, name in (("arrival_wait_valid", "arrival_offset_sec", "arrival"), ("boarding_valid", "boarding_sec", "boarding")):
-        hist = base.where(valid).groupBy(*keys, F.col(value).alias("sec")).agg(rows().alias("n"))
-        part = rollup_sets(hist, keys, _MONTH_SETS, [
-            F.sum("n").alias(f"{name}_n"), (hist_mean("sec") / 60).alias(f"{name}_mean_min"),
-            (hist_quantile("sec", .5) / 60).alias(f"{name}_p50_min"), (hist_quantile("sec", .95) / 60).alias(f"{name}_p95_min")],
-            {"provider": X.ALL_LABEL})
-        same = out["month"].eqNullSafe(part["month"]) & (out["provider"] == part["provider"]) & (
-            out["accessibility_segment"] == part["accessibility_segment"])
-        out = out.join(part, same, "left").drop(*[part[k] for k in keys]).fillna(0, [f"{name}_n"])
-    return out
+    for kind, name in ((1, "arrival"), (2, "boarding")):
+        sec, n = F.when(F.col("kind") == kind, F.col("sec")), F.when(F.col("kind") == kind, F.col("n"))
+        known = F.coalesce(n, F.lit(0))
+        measures += [F.coalesce(F.sum(n), F.lit(0)).alias(f"{name}_n"), (F.try_divide(F.sum(sec * n).cast("double"), F.sum(n)) / 60).alias(f"{name}_mean_min"),
+                     (F.percentile(sec, F.lit(.5), known) / 60).alias(f"{name}_p50_min"), (F.percentile(sec, F.lit(.95), known) / 60).alias(f"{name}_p95_min")]
+    return rollup_sets(fine, keys, _MONTH_SETS, measures, {"provider": X.ALL_LABEL})
 
 
 def zone_metrics(trips: DataFrame) -> DataFrame:
