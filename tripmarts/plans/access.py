@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripmarts import lineage
 from tripmarts.functions import trip as X
 from tripmarts.operators.quantile import hist_mean, hist_quantile
 from tripmarts.operators.rollup import count_if, pivot_sum, ratio, rollup_sets, rows, top_n
@@ -74,12 +75,13 @@ def monthly_metrics(trips: DataFrame) -> DataFrame:
             "fare_timed": F.when(timed, F.col("base_passenger_fare")), "min_timed": F.when(timed, minutes), "n_timed": one(timed),
             "miles_timed": F.when(timed, F.col("trip_miles")), "miles_econ": F.when(econ & (F.col("trip_miles") >= 0), F.col("trip_miles")), "n_econ": one(econ),
             "tipped_n": one(econ & (F.col("tips") > 0)), "tip_sum": F.when(econ & (F.col("tips") > 0), F.col("tips"))}
-    flat = trips.select(F.col("pickup_month").alias("month"), "provider", X.access_segment().alias("accessibility_segment"), *[c.alias(n) for n, c in sums.items()],
-                        F.when(F.col("arrival_wait_valid"), F.col("arrival_offset_sec")).alias("arrival"), F.when(F.col("boarding_valid"), F.col("boarding_sec")).alias("boarding"))
+    first = {n: F.when(F.col("kind") == 0, c) for n, c in sums.items()}
     # a trip counts once with its sums and once in each histogram (kinds 1 and 2, by second)
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("long").alias("sec")) for k, c in ((0, F.lit(None)), (1, F.col("arrival")), (2, F.col("boarding")))])
-    spread = flat.select("*", F.explode(kinds).alias("x")).select("*", "x.*").where("kind = 0 OR sec IS NOT NULL")
-    fine = spread.groupBy(*keys, "kind", "sec").agg(rows().alias("n"), *[F.sum(F.when(F.col("kind") == 0, F.col(n))).alias(n) for n in sums])
+    arrival, boarding = F.when(F.col("arrival_wait_valid"), F.col("arrival_offset_sec")), F.when(F.col("boarding_valid"), F.col("boarding_sec"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("long").alias("sec")) for k, c in ((0, F.lit(None)), (1, arrival), (2, boarding))])
+    spread = trips.select("*", F.explode(kinds).alias("x")).select("*", "x.*").where("kind = 0 OR sec IS NOT NULL")
+    spread = spread.select(F.col("pickup_month").alias("month"), "provider", X.access_segment().alias("accessibility_segment"), "kind", "sec", *[c.alias(n) for n, c in first.items()])
+    fine = lineage.cut(spread.groupBy(*keys, "kind", "sec").agg(rows().alias("n"), *[F.sum(n).alias(n) for n in sums]))
     s = F.sum
     measures = [
         *[s(c).alias(c) for c in ("trips", "wav_request_n", "wav_match_n", "economics_n", "tipped_n")],
@@ -87,12 +89,15 @@ def monthly_metrics(trips: DataFrame) -> DataFrame:
         ratio(s("miles_econ"), s("n_econ")).alias("mean_miles"), ratio(s("min_timed"), s("n_timed")).alias("mean_duration_min"),
         (ratio(s("miles_timed"), s("min_timed")) * 60).alias("aggregate_speed_mph"),
         (ratio(s("tipped_n"), s("n_econ")) * 100).alias("tipped_share_pct"), ratio(s("tip_sum"), s("tipped_n")).alias("mean_tip_positive")]
-    for kind, name in ((1, "arrival"), (2, "boarding")):
-        sec, n = F.when(F.col("kind") == kind, F.col("sec")), F.when(F.col("kind") == kind, F.col("n"))
-        known = F.coalesce(n, F.lit(0))
-        measures += [F.coalesce(F.sum(n), F.lit(0)).alias(f"{name}_n"), (F.try_divide(F.sum(sec * n).cast("double"), F.sum(n)) / 60).alias(f"{name}_mean_min"),
-                     (F.percentile(sec, F.lit(.5), known) / 60).alias(f"{name}_p50_min"), (F.percentile(sec, F.lit(.95), known) / 60).alias(f"{name}_p95_min")]
-    return rollup_sets(fine, keys, _MONTH_SETS, measures, {"provider": X.ALL_LABEL})
+    label = {"provider": X.ALL_LABEL}
+    base = rollup_sets(fine.where("kind = 0"), keys, _MONTH_SETS, measures, label).withColumn("kind", F.lit(0))
+    spread_of = [F.sum("n").alias("_n"), (hist_mean("sec") / 60).alias("_mean_min"), (hist_quantile("sec", .5) / 60).alias("_p50_min"), (hist_quantile("sec", .95) / 60).alias("_p95_min")]
+    waits = rollup_sets(fine.where("kind > 0"), [*keys, "kind"], [[*s_, "kind"] for s_ in _MONTH_SETS], spread_of, label)
+    # both in one layout: a grouping treats null months as equal, a join would not
+    together = base.unionByName(waits, allowMissingColumns=True)
+    plain = [c for c in base.columns if c not in (*keys, "kind")]
+    parts = [F.max(F.when(F.col("kind") == k, F.col(f"_{m}"))).alias(f"{name}_{m}") for k, name in ((1, "arrival"), (2, "boarding")) for m in ("n", "mean_min", "p50_min", "p95_min")]
+    return together.groupBy(*keys).agg(*[F.max(c).alias(c) for c in plain], *parts).fillna(0, ["arrival_n", "boarding_n"])
 
 
 def zone_metrics(trips: DataFrame) -> DataFrame:
