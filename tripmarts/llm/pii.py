@@ -19,6 +19,8 @@ null id stays null, an empty table gives no rows. Other columns are not read by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,17 +51,36 @@ MAX_CELLS = int(np.prod(list(FEATURES.values()))) * 4
 ROUNDS, RATE, PRECISION = 24, 0.4, 0.95
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; what a lambda refers to by expression is computed for each of its elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums of a short array."""
+    return F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
+
+
+def running_sums(lengths: Column) -> Column:
+    """Running sums in blocks of the root of the size, so that growing arrays stay short."""
+    def blocks(size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / size).cast("int")), lambda b: _running(F.slice(lengths, b * size + 1, size)))
+
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.element_at(p, -1))
+        return let(_running(totals), lambda ends: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: x + F.get(ends, i) - F.element_at(p, -1)))))
+    return let(F.ceil(F.sqrt(F.size(lengths))).cast("int"), lambda size: let(blocks(size), joined))
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """Array of (start, value, left, right) of all matches; left and right are what stands around one, up to 24 code points."""
+    def placed(found: Column, gaps: Column) -> Column:
+        lengths = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.length(v) + F.length(g))
+        return let(let(lengths, running_sums), lambda ends: F.transform(found, lambda v, i: F.struct(
+            (F.get(ends, i) - F.length(v)).alias("start"), v.alias("value"), F.right(F.get(gaps, i), F.lit(24)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("right"))))
+
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    last = F.size(found) - 1
-    # running ends of the matches, in order
-    starts = F.aggregate(F.sequence(F.lit(0), last), F.array().cast("array<int>"), lambda acc, i: F.concat(acc, F.array(
-        F.when(i == 0, F.lit(0)).otherwise(F.element_at(acc, F.greatest(i, F.lit(1))) + F.length(F.get(found, i - 1))) + F.length(F.get(gaps, i)))))
-    rows = F.transform(F.arrays_zip(starts.alias("start"), found.alias("value"), F.sequence(F.lit(0), last).alias("i")), lambda x: F.struct(
-        x["start"].alias("start"), x["value"].alias("value"), F.right(F.get(gaps, x["i"]), F.lit(24)).alias("left"), F.left(F.get(gaps, x["i"] + 1), F.lit(1)).alias("right")))
-    return F.when(F.size(found) > 0, rows)
+    return let(found, lambda v: F.when(F.size(v) > 0, let(F.split(text, pattern, -1), lambda gaps: placed(v, gaps))))
 
 
 def _luhn(digits: Column) -> Column:
