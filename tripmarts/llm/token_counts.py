@@ -9,7 +9,8 @@ The vocabulary is a file of pieces in order of frequency; a piece of rank r has
 character in no piece costs one token per UTF-8 byte, at a score 10 below the least piece.
 
 No shuffle: counts need only the document itself. A worker's trie is dropped when it has TRIE_NODES nodes and built up again,
-which bounds memory and changes no count.
+which bounds memory and changes no count. A pre-token of more than LONG characters shares no prefix worth keeping: it gets the
+same forward scores in a window as wide as the longest piece and isn't stored.
 
 Null texts count as empty, an empty text has 0 tokens, repeated rows give repeated results, a null id stays null, an empty table
 gives no rows. Other columns are not read.
@@ -31,6 +32,7 @@ from tripmarts.llm.common import id_and_text, map_columns
 MARK = "▁"
 OFFSET = 3.0
 TRIE_NODES = 700_000
+LONG = 1024
 PRE_TOKEN = re.compile(f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -46,9 +48,9 @@ def zipf_scores(model_file: str) -> dict[str, float]:
 class PrefixTrie(dict):
     """Pre-token -> (tokens, score). Nodes are numbered; step leads from (node, character) to the next node."""
 
-    def __init__(self, scores: dict[str, float], limit: int = TRIE_NODES):
+    def __init__(self, scores: dict[str, float], limit: int = TRIE_NODES, long: int = LONG):
         super().__init__()
-        self.scores, self.limit = scores, limit
+        self.scores, self.limit, self.long = scores, limit, long
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self.singles = {p for p in scores if len(p) == 1}
@@ -59,7 +61,29 @@ class PrefixTrie(dict):
         self.step: dict[tuple[int, str], int] = {}
         self.best, self.count = [0.0], [0]
 
+    def unstored(self, word: str) -> tuple[int, float]:
+        """The same recursion without nodes: the last `longest` prefixes are all it looks back at."""
+        scores, width = self.scores, self.longest + 1
+        best, count = [0.0] * width, [0] * width
+        for end, ch in enumerate(word, 1):
+            top, least = -math.inf, 0
+            for start in range(max(0, end - self.longest), end):
+                s = scores.get(word[start:end])
+                if s is not None:
+                    score, n = best[start % width] + s, count[start % width] + 1
+                    if score > top or (score == top and n < least):
+                        top, least = score, n
+            if ch not in self.singles:
+                at = (end - 1) % width
+                score, n = best[at] + self.unknown, count[at] + len(ch.encode("utf-8", "surrogatepass"))
+                if score > top or (score == top and n < least):
+                    top, least = score, n
+            best[end % width], count[end % width] = top, least
+        return count[len(word) % width], best[len(word) % width]
+
     def __missing__(self, word: str) -> tuple[int, float]:
+        if len(word) > self.long:
+            return self.unstored(word)
         if len(self.best) > self.limit:
             self.reset()
         step, best, count, scores = self.step, self.best, self.count, self.scores
