@@ -3,11 +3,16 @@
 Ordinary texts are encoded in place: no shuffle. A text is cut before each run of ASCII white space, where a pre-token always ends,
 and each distinct piece is encoded once per worker (the cache is dropped at CACHE_PIECES pieces, which bounds memory only).
 
-Long unsplit text (a pre-token of more than piece_bytes bytes) takes tree concatenation: the pre-token is cut into pieces that
-different tasks encode in parallel; neighbours are then joined pairwise, round by round. At a join, the last k tokens of the left
-and the first k tokens of the right side are encoded anew as one text; k doubles until the new tokens start with the left side's
-token at that place and end with the right side's. A BPE encoding is right exactly if all neighbouring tokens are compatible, so
-from agreeing tokens outwards the two sides stand, and the result equals the encoding of the whole.
+Long texts take tree concatenation: a text is cut into pieces that different tasks encode in parallel; neighbours are then joined
+pairwise, round by round. At a join, a window around it is encoded anew and grows until both sides agree with it.
+
+* Texts of more than long_chars characters are cut at any place. The first token of each pre-token is marked; the window begins at
+  a mark of the left side, far enough from its end that what follows can't move the mark. The sides agree where a pre-token of the
+  window begins at a mark of the right side: pre-tokens depend on nothing before them, so from there on the right side stands.
+* A long pre-token (a run of more than piece_bytes bytes in its letters) has no marks. It is cut by itself: the last k tokens of
+  the left and the first k tokens of the right side are encoded anew as one text; k doubles until the new tokens start with the
+  left side's token at that place and end with the right side's. A BPE encoding is right exactly if all neighbouring tokens are
+  compatible, so from agreeing tokens outwards the two sides stand, and the result equals the encoding of the whole.
 
 Null texts are empty (no tokens, decoded to empty), repeated rows give repeated results, a null id stays null, an empty table
 gives no rows. Special tokens written in a text are matched, as the library does by default. Other columns are not read.
@@ -20,6 +25,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +35,9 @@ from tripmarts import lineage
 from tripmarts.llm.common import id_and_text, map_columns, slices
 
 PIECE_BYTES = 8192
+LONG_CHARS, PIECE_CHARS = 65_536, 16_384
+#: Set in an id that begins a pre-token or is a special token, while texts are joined.
+MARK = 1 << 31
 CACHE_PIECES = 200_000
 WORDS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: White space besides blank, tab and line ends: such texts go to the library whole.
@@ -64,6 +73,9 @@ class ByteBpe(dict):
         added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = added
+        #: More bytes than a special token and what a pre-token looks ahead can have.
+        self.margin = 4 * (max(map(len, added), default=0) + 4)
+        self.marked_words: dict[str, bytes] = {}
         self.letters_of = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         size = max(self.letters_of, default=-1) + 1
         self.bytes_of = [b""] * size
@@ -112,6 +124,50 @@ class ByteBpe(dict):
         return left + right
 
 
+    def marked(self, text: str) -> array:
+        """Ids of a text, with MARK in the first of each pre-token and in special tokens."""
+        out, known = array("I"), self.marked_words
+        for part in self.special.split(text) if self.special else [text]:
+            if part in self.added:
+                out.append(self.added[part] | MARK)
+                continue
+            for letters, _ in self.tok.pre_tokenizer.pre_tokenize_str(part):
+                ids = known.get(letters)
+                if ids is None:
+                    if len(known) >= CACHE_PIECES:
+                        known.clear()
+                    first, *rest = self.word(letters)
+                    ids = as_bytes([first | MARK, *rest])
+                    if len(letters) <= 256:
+                        known[letters] = ids
+                out.frombytes(ids)
+        return out
+
+    def join_texts(self, left: array, right: array) -> array:
+        """marked() of the concatenation of two texts, given marked() of each."""
+        k = self.margin
+        while left and right:
+            begin = next((i for i in range(len(left) - k, 0, -1) if left[i] & MARK), 0)
+            end = next((i for i in range(k, len(right)) if right[i] & MARK), len(right))
+            before, after = ([self.bytes_of[i & ~MARK] for i in side] for side in (left[begin:], right[:end]))
+            window = b"".join(before + after)
+            new = self.marked(window.decode())
+            if end == len(right):
+                return left[:begin] + new
+            marks, at = {}, sum(map(len, before))
+            for i, token in enumerate(after):
+                if right[i] & MARK:
+                    marks[at] = i
+                at += len(token)
+            at = 0
+            for j, i in enumerate(new):
+                if i & MARK and at in marks and at <= len(window) - self.margin:
+                    return left[:begin] + new[:j] + right[marks[at]:]
+                at += len(self.bytes_of[i & ~MARK])
+            k *= 2
+        return left + right
+
+
 def as_bytes(ids: list[int]) -> bytes:
     return memoryview(array("I", ids)).tobytes()
 
@@ -187,44 +243,95 @@ def _encode_pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def _join_pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut_texts(path: str, piece_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (key, text) to the rows of PIECES, with the piece as it is in place of letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = [text[c:c + piece_chars] for c in range(0, len(text), piece_chars)]
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n), pa.array([0] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([n] * n, pa.int64()),
+                                                  pa.array(parts, pa.string()), pa.nulls(n, pa.binary())], names=PIECES.names)
+
+    return run
+
+
+def _encode_texts(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(path)
+        for b in slices(batches):
+            ids = [bpe.marked(text).tobytes() for text in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ids, pa.binary())], names=[*PIECES.names[:4], "ids"])
+    return run
+
+
+def _join_pieces(path: str, whole_texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows with the ids of two neighbours (right: null if there is none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
-        for b in batches:
-            ids = [x if y is None else as_bytes(bpe.join(list(as_ids(x)), list(as_ids(y)))) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+
+        def join(x: bytes, y: bytes) -> bytes:
+            if whole_texts:
+                return bpe.join_texts(as_ids(x), as_ids(y)).tobytes()
+            return as_bytes(bpe.join(list(as_ids(x)), list(as_ids(y))))
+
+        for b in slices(batches):
+            ids = [x if y is None else join(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ids, pa.binary())], names=[*PIECES.names[:4], "ids"])
     return run
 
 
-def _tree(texts: DataFrame, path: str, piece_bytes: int) -> DataFrame:
-    """(key, ids) of distinct long texts (key, text_)."""
-    done = StructType([*PIECES.fields[:4], PIECES["ids"]])
-    pieces = texts.mapInArrow(_cut(path, piece_bytes), PIECES).repartition("key", "seq", "piece").mapInArrow(_encode_pieces(path), done)
+DONE = StructType([*PIECES.fields[:4], PIECES["ids"]])
+
+
+def _joined(pieces: DataFrame, path: str, whole_texts: bool) -> DataFrame:
+    """(key, seq, ids) of encoded pieces: neighbours are joined until each (key, seq) is one."""
     pieces = lineage.cut(pieces)
     widest = pieces.agg(F.max("pieces")).first()[0] or 1
     while widest > 1:
-        half = [F.col("key"), F.col("seq"), F.floor(F.col("piece") / 2).alias("piece"), F.ceil(F.col("pieces") / 2).alias("pieces"), F.col("ids")]
-        left = pieces.where("piece % 2 = 0").select(*half)
-        right = pieces.where("piece % 2 = 1").select(*half[:3], F.col("ids").alias("right"))
-        pieces = left.join(right, ["key", "seq", "piece"], "left").select("key", "seq", "piece", "pieces", "ids", "right").mapInArrow(_join_pieces(path), done)
+        both = pieces.groupBy("key", "seq", F.floor(F.col("piece") / 2).alias("piece")).agg(
+            F.max(F.ceil(F.col("pieces") / 2)).alias("pieces"), F.max(F.when(F.col("piece") % 2 == 0, F.col("ids"))).alias("ids"),
+            F.max(F.when(F.col("piece") % 2 == 1, F.col("ids"))).alias("right"))
+        pieces = both.mapInArrow(_join_pieces(path, whole_texts), DONE)
         widest = -(-widest // 2)
+    return pieces.select("key", "seq", "ids")
+
+
+def _word_tree(texts: DataFrame, path: str, piece_bytes: int) -> DataFrame:
+    """(key, ids) of distinct texts (key, text_) with long pre-tokens."""
+    pieces = texts.mapInArrow(_cut(path, piece_bytes), PIECES).repartition("key", "seq", "piece").mapInArrow(_encode_pieces(path), DONE)
     ordered = F.sort_array(F.collect_list(F.struct("seq", "ids")))
-    return pieces.groupBy("key").agg(F.aggregate(ordered, F.expr("cast('' AS binary)"), lambda done, x: F.concat(done, x["ids"])).alias("ids"))
+    return _joined(pieces, path, False).groupBy("key").agg(F.aggregate(ordered, F.expr("cast('' AS binary)"), lambda done, x: F.concat(done, x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def _text_tree(texts: DataFrame, path: str, piece_chars: int) -> DataFrame:
+    """(key, ids) of distinct long texts (key, text_)."""
+    pieces = texts.mapInArrow(_cut_texts(path, piece_chars), PIECES).repartition("key", "piece").mapInArrow(_encode_texts(path), DONE)
+
+    def unmark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            ids = [(np.frombuffer(x, "<u4") & np.uint32(MARK - 1)).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+
+    return _joined(pieces, path, True).select("key", "ids").mapInArrow(unmark, StructType([PIECES["key"], PIECES["ids"]]))
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = PIECE_BYTES, long_chars: int = LONG_CHARS,
+           piece_chars: int = PIECE_CHARS) -> DataFrame:
     """One row per row of docs: id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
     rows = id_and_text(docs, id_col, text_col)
     run = max(1, piece_bytes // 4)
     unsplit = F.col("text_").rlike(rf"(?<![^ \t\n\r])[^ \t\n\r]{{{run}}}|(?<![ \t\n\r])[ \t\n\r]{{{run}}}")
+    large = F.length("text_") > long_chars
     fields = [StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
-    plain = map_columns(rows.where(~unsplit), "text_", _encoder(path), fields, drop_text=True)
-    long = rows.where(unsplit).withColumn("key", F.sha2("text_", 256))
-    tree = _tree(long.select("key", "text_").dropDuplicates(["key"]), path, piece_bytes)
-    joined = long.select(id_col, "key").join(tree, "key").select(id_col, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
-    return plain.unionByName(joined)
+    out = map_columns(rows.where(~unsplit & ~large), "text_", _encoder(path), fields, drop_text=True)
+    for chosen, tree, size in ((unsplit, _word_tree, piece_bytes), (~unsplit & large, _text_tree, piece_chars)):
+        long = rows.where(chosen).withColumn("key", F.sha2("text_", 256))
+        coded = tree(long.select("key", "text_").dropDuplicates(["key"]), path, size)
+        out = out.unionByName(long.select(id_col, "key").join(coded, "key").select(id_col, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids"))
+    return out
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
