@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog import access, events, shared, stats, suite
+from catalog import access, events, regress, shared, stats, suite, tails
 from catalog.base import T, cte, register
 from tripmarts import lineage
 from tripmarts.functions import trip as X
@@ -16,7 +16,7 @@ from tripmarts.plans import panels as P
 from tripmarts.plans import shared as S
 from tripmarts.plans import suite as M
 
-CAL = ["weekday", "month", "year"]
+CAL = ("weekday", "month", "year")
 OLS = "term:str coef:real se:real stat:real n r2:real"
 
 
@@ -42,6 +42,9 @@ OLS_1 = """SELECT '{term}' AS term, b AS coef, se, b / se AS stat, n, r2 FROM (S
   sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2) / regr_sxx(y, x)) AS se FROM ({src}) s) q"""
 
 
+cte("city_calendar", "SELECT *, isodow(date) AS weekday, month(date) AS month, year(date) AS year FROM city_days")
+ROBUST_P = tails.normal_two_sided("stat")
+
 # --- least squares -----------------------------------------------------------------------------------------------
 
 @register("ols_naive_elasticity_hc3", OLS, HC3_1.format(term="log_fpm", src="SELECT log_fpm AS x, log_trips AS y FROM city_days"))
@@ -49,7 +52,8 @@ def q_naive(spark, d):
     return L.ols(city_days(spark, d), "log_trips", ["log_fpm"], cov="HC3", terms=["log_fpm"])
 
 
-@register("ols_elasticity_calendar_hc3", "term:str coef:real se:real stat:real p_value:real n r2:real")
+@register("ols_elasticity_calendar_hc3", "term:str coef:real se:real stat:real p_value:real n r2:real", tails.with_p(
+    regress.table(regress.least_squares("SELECT * FROM city_calendar", "log_trips", ["log_fpm"], CAL, cov="HC3"), ["log_fpm"]), ROBUST_P))
 def q_elasticity(spark, d):
     return L.ols(city_days(spark, d), "log_trips", ["log_fpm"], CAL, cov="HC3", terms=["log_fpm"])
 
@@ -61,12 +65,19 @@ def q_month(spark, d):
     return L.ols(city_days(spark, d), "log_trips", ["prcp_mm"], ["month"], terms=["prcp_mm"])
 
 
-@register("ols_forecast_anticipation_hac", "outcome:str term:str coef:real se:real stat:real p_value:real n")
+NEIGHBOURS = ["prcp_mm", "prcp_mm_tom", "prcp_mm_yest", "tmax_c", "tmax_c_tom", "awnd_ms"]
+cte("city_neighbours", """SELECT *, lead(prcp_mm) OVER (ORDER BY date) AS prcp_mm_tom, lag(prcp_mm) OVER (ORDER BY date) AS prcp_mm_yest, lead(tmax_c) OVER (ORDER BY date) AS tmax_c_tom
+FROM city_calendar""")
+
+
+@register("ols_forecast_anticipation_hac", "outcome:str term:str coef:real se:real stat:real p_value:real n", " UNION ALL ".join(
+    f"SELECT '{y}' AS outcome, * FROM (" + tails.with_p(regress.table(regress.least_squares(
+        "SELECT * FROM city_neighbours", y, NEIGHBOURS, ("weekday", "month"), cov="HAC", order="date"), NEIGHBOURS[:3]), ROBUST_P) + ") one" for y in ("log_trips", "fare_per_mile")))
 def q_hac(spark, d):
     days = W.Window.partitionBy(F.lit(1)).orderBy("date")
     p = city_days(spark, d).withColumns({f"{c}_{s}": (F.lead(c).over(days) if s == "tom" else F.lag(c).over(days)) for c in ("prcp_mm", "tmax_c") for s in ("tom", "yest")})
     p = lineage.cut(p)
-    x = ["prcp_mm", "prcp_mm_tom", "prcp_mm_yest", "tmax_c", "tmax_c_tom", "awnd_ms"]
+    x = NEIGHBOURS
     out = None
     for y in ("log_trips", "fare_per_mile"):
         one = L.ols(p, y, x, ["weekday", "month"], cov="HAC", order="date", lags=3, terms=x[:3]).withColumn("outcome", F.lit(y))
@@ -145,9 +156,14 @@ def q_std(spark, d):
     return L.standardised(stats.weather_days(spark, d), "taxi_anom", ["prcp_mm", "tmax_c"])
 
 
-@register("standardised_weather_regression_four", "term:str coef:real se:real r2:real")
+FOUR = ["prcp_mm", "snow_mm", "tmax_c", "awnd_ms"]
+
+
+@register("standardised_weather_regression_four", "term:str coef:real se:real r2:real", regress.table(regress.least_squares(
+    "SELECT " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in ["fhvhv_anom", *FOUR])
+    + " FROM weather_days WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ["fhvhv_anom", *FOUR]), "fhvhv_anom", FOUR)))
 def q_std4(spark, d):
-    return L.standardised(stats.weather_days(spark, d), "fhvhv_anom", ["prcp_mm", "snow_mm", "tmax_c", "awnd_ms"])
+    return L.standardised(stats.weather_days(spark, d), "fhvhv_anom", FOUR)
 
 
 @register("ols_event_lift", "term:str coef:real n r2:real", """
@@ -169,9 +185,43 @@ def q_line(spark, d):
 ATE = "model:str treatment:str outcome:str n naive_r:real ate:real se:real ci_low:real ci_high:real p_value:real partial_r2:real robustness_value:real"
 
 
-@register("effect_rain_citywide", ATE + " placebo:real random_cause:real subset80:real")
+WEATHER = ["tmax_c", "awnd_ms", "snow_mm"]
+
+
+def effect_sql(src: str, treatment: str, outcome: str, adjust: list[str], categories: tuple[str, ...], by: str = "'all'", model: str = "g", **more: str) -> str:
+    """An adjusted effect with interval and sensitivity, from least squares in SQL."""
+    used = " AND ".join(f"{c} IS NOT NULL" for c in [treatment, outcome, *adjust, *categories])
+    fitted = regress.table(regress.least_squares(src, outcome, [treatment, *adjust], categories, by), [treatment])
+    naive = f"SELECT {by} AS g, corr({outcome}, {treatment}) AS naive_r FROM ({src}) rows WHERE {used} GROUP BY 1"
+    cols = ", ".join(f"{sql} AS {name}" for name, sql in more.items())
+    return tails.with_p(f"""SELECT {model} AS model, '{treatment}' AS treatment, '{outcome}' AS outcome, n, naive_r, coef AS ate, se, coef - 1.96 * se AS ci_low, coef + 1.96 * se AS ci_high,
+  stat * stat / (stat * stat + df) AS partial_r2, (sqrt(pow(stat * stat / df, 2) + 4 * stat * stat / df) - stat * stat / df) / 2 AS robustness_value, stat, df{', ' + cols if cols else ''}
+FROM ({fitted}) fitted JOIN ({naive}) naive USING (g)""", tails.t_two_sided("stat", "df"))
+
+
+def draw_sql(seed: int, key: str) -> str:
+    return f"CAST('0x' || substr(md5('{seed}-' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT)"
+
+
+def moved_sql(src: str, key: str, column: str, seed: int = 42) -> str:
+    """src with the column's values at other places: the value of hash rank p goes to the row of key rank p."""
+    return f"""SELECT a.* EXCLUDE ({column}, pos), b.{column} FROM (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS pos FROM ({src}) s) a JOIN (
+  SELECT {column}, row_number() OVER (ORDER BY {draw_sql(seed, 'pos')}, pos) - 1 AS place FROM (SELECT {column}, row_number() OVER (ORDER BY {key}) - 1 AS pos FROM ({src}) s) t) b ON b.place = a.pos"""
+
+
+cte("rain_days", "SELECT date, prcp_mm, log_trips, " + ", ".join([*WEATHER, *CAL]) + " FROM city_calendar WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ["prcp_mm", "log_trips", *WEATHER]))
+
+
+def rain_again(src: str, *more: str) -> str:
+    return regress.coefficient(regress.least_squares(src, "log_trips", ["prcp_mm", *WEATHER, *more], CAL), "prcp_mm")
+
+
+@register("effect_rain_citywide", ATE + " placebo:real random_cause:real subset80:real", effect_sql(
+    "SELECT * FROM rain_days", "prcp_mm", "log_trips", WEATHER, CAL, model="'citywide'", placebo=rain_again(moved_sql("SELECT * FROM rain_days", "date", "prcp_mm")),
+    random_cause=rain_again(f"SELECT *, {draw_sql(42, 'date')} / 4294967296.0 AS noise FROM rain_days", "noise"),
+    subset80=rain_again(f"SELECT * FROM rain_days WHERE {draw_sql(43, 'date')} / 4294967296.0 < 0.8")))
 def q_rain(spark, d):
-    return E.adjusted_effect(city_days(spark, d), "prcp_mm", "log_trips", ["tmax_c", "awnd_ms", "snow_mm"], CAL, key="date",
+    return E.adjusted_effect(city_days(spark, d), "prcp_mm", "log_trips", WEATHER, CAL, key="date",
                              refute=("placebo", "random_cause", "subset"), label="citywide")
 
 
@@ -180,9 +230,14 @@ def borough_days(spark, d):
     return calendar(b).withColumn("log_trips", X.log_clip1("trips"))
 
 
-@register("effect_rain_by_borough", ATE + " pct_per_10mm:real")
+cte("borough_calendar", """SELECT b.borough, b.date, ln(greatest(b.trips, 1)) AS log_trips, w.prcp_mm, w.tmax_c, w.awnd_ms, w.snow_mm, isodow(b.date) AS weekday, month(b.date) AS month,
+  year(b.date) AS year FROM m_daily_by_borough b JOIN weather w ON w.date = b.date""")
+
+
+@register("effect_rain_by_borough", ATE + " pct_per_10mm:real", "SELECT *, 100 * (exp(10 * ate) - 1) AS pct_per_10mm FROM (" + effect_sql(
+    "SELECT * FROM borough_calendar", "prcp_mm", "log_trips", WEATHER, CAL, by="borough") + ") boroughs")
 def q_rain_borough(spark, d):
-    return E.adjusted_effect(borough_days(spark, d), "prcp_mm", "log_trips", ["tmax_c", "awnd_ms", "snow_mm"], CAL, by="borough").withColumn("pct_per_10mm", X.pct_effect("ate"))
+    return E.adjusted_effect(borough_days(spark, d), "prcp_mm", "log_trips", WEATHER, CAL, by="borough").withColumn("pct_per_10mm", X.pct_effect("ate"))
 
 
 @register("effect_rain_by_borough_simple", "model:str n naive_r:real ate:real se:real", """
@@ -255,14 +310,34 @@ def q_mediation(spark, d):
     return E.mediation(city_days(spark, d), "prcp_mm", "fare_per_mile", "trips", [])
 
 
-@register("mediation_rain_fare_adjusted", "treatment:str mediator:str outcome:str total_effect:real direct:real indirect:real n")
+def coefficient_sql(src: str, y: str, x: list[str], categories: tuple[str, ...], term: str) -> str:
+    return regress.coefficient(regress.least_squares(src, y, x, categories), term)
+
+
+MEDIATION_X = ["tmax_c", "awnd_ms"]
+MEDIATION_ROWS = "SELECT * FROM city_calendar WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ["prcp_mm", "fare_per_mile", "trips", *MEDIATION_X])
+_FULL, _WEEK = ["prcp_mm", "fare_per_mile", *MEDIATION_X], ("weekday", "month")
+
+
+@register("mediation_rain_fare_adjusted", "treatment:str mediator:str outcome:str total_effect:real direct:real indirect:real n", f"""
+SELECT 'prcp_mm' AS treatment, 'fare_per_mile' AS mediator, 'trips' AS outcome, {coefficient_sql(MEDIATION_ROWS, "trips", ["prcp_mm", *MEDIATION_X], _WEEK, "prcp_mm")} AS total_effect,
+  {coefficient_sql(MEDIATION_ROWS, "trips", _FULL, _WEEK, "prcp_mm")} AS direct, {coefficient_sql(MEDIATION_ROWS, "trips", _FULL, _WEEK, "fare_per_mile")}
+  * {coefficient_sql(MEDIATION_ROWS, "fare_per_mile", ["prcp_mm", *MEDIATION_X], _WEEK, "prcp_mm")} AS indirect, (SELECT count(*) FROM ({MEDIATION_ROWS}) r) AS n""")
 def q_mediation_adj(spark, d):
-    return E.mediation(city_days(spark, d), "prcp_mm", "fare_per_mile", "trips", ["tmax_c", "awnd_ms"], ["weekday", "month"])
+    return E.mediation(city_days(spark, d), "prcp_mm", "fare_per_mile", "trips", MEDIATION_X, ["weekday", "month"])
+
 
+SUBWAY_ROWS = "SELECT * FROM city_calendar WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ["prcp_mm", "log_subway", "log_trips", *WEATHER])
+_TO_SUBWAY = tails.with_p(regress.table(regress.least_squares(SUBWAY_ROWS, "log_subway", ["prcp_mm", *WEATHER], CAL, cov="HC3"), ["prcp_mm"]), ROBUST_P)
+_SUBWAY_X = ["prcp_mm", "log_subway", *WEATHER]
 
-@register("transit_substitution", "n to_mediator:real to_mediator_p:real without_mediator:real with_mediator:real mediator_coef:real shrinkage_pct:real")
+
+@register("transit_substitution", "n to_mediator:real to_mediator_p:real without_mediator:real with_mediator:real mediator_coef:real shrinkage_pct:real", f"""
+SELECT *, 100 * (1 - with_mediator / without_mediator) AS shrinkage_pct FROM (SELECT n, coef AS to_mediator, p_value AS to_mediator_p, {rain_again(SUBWAY_ROWS)} AS without_mediator,
+  {coefficient_sql(SUBWAY_ROWS, "log_trips", _SUBWAY_X, CAL, "prcp_mm")} AS with_mediator, {coefficient_sql(SUBWAY_ROWS, "log_trips", _SUBWAY_X, CAL, "log_subway")} AS mediator_coef
+FROM ({_TO_SUBWAY}) m) s""")
 def q_transit(spark, d):
-    return E.mediator_shrinkage(city_days(spark, d), "prcp_mm", "log_subway", "log_trips", ["tmax_c", "awnd_ms", "snow_mm"], CAL)
+    return E.mediator_shrinkage(city_days(spark, d), "prcp_mm", "log_subway", "log_trips", WEATHER, CAL)
 
 
 def panel(spark, d):
@@ -290,14 +365,27 @@ def q_within(spark, d):
     return E.within_effect(panel(spark, d), "zone", "year", "fhvhv_share_of_pair", "log_green")
 
 
-@register("effect_share_within_placebo", "term:str coef:real se:real n")
+KEYED_DM = DM.replace("AS x, y1", "AS x, zone, year, y1").replace("SELECT year,", "SELECT zone, year,").format(x="pair_share", y="log_green")
+
+
+@register("effect_share_within_placebo", "term:str coef:real se:real n", OLS_1.format(term="fhvhv_share_of_pair_dm", src=moved_sql(KEYED_DM, "zone * 10000 + year", "x")))
 def q_placebo(spark, d):
     p = lineage.cut(panel(spark, d).select("zone", "year", "log_green", "fhvhv_share_of_pair").dropna())
     dm = W.demean(p, ["fhvhv_share_of_pair", "log_green"], [["zone"], ["year"]]).withColumn("key", F.col("zone").cast("long") * 10000 + F.col("year"))
     return L.ols(E._shuffle_column(dm, "key", "fhvhv_share_of_pair_dm", 42), "log_green_dm", ["fhvhv_share_of_pair_dm"], terms=["fhvhv_share_of_pair_dm"])
 
 
-@register("effect_share_fixed_effects", "n units times ate:real se:real p_value:real")
+#: Unit dummies are taken out by subtracting unit means from every column, those of the periods stay as columns; years without rows and the one
+#: that the others determine are passed over.
+_YEARS = [f"year_{y}" for y in range(1992, 2005)]
+_PANEL = "SELECT zone, " + ", ".join([f"{c} - avg({c}) OVER (PARTITION BY zone) AS {c}" for c in ("fhvhv_share", "log_yellow")] + [
+    f"(CASE WHEN year = {c[5:]} THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN year = {c[5:]} THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY zone) AS {c}" for c in _YEARS]) + " FROM zone_panel"
+
+
+@register("effect_share_fixed_effects", "n units times ate:real se:real p_value:real", tails.with_p(f"""
+SELECT n, units, times, coef AS ate, sqrt(bread * ssr / (n - units - times)) AS se, coef / sqrt(bread * ssr / (n - units - times)) AS t, CAST(n - units - times AS DOUBLE) AS df
+FROM ({regress.least_squares(_PANEL, "log_yellow", ["fhvhv_share", *_YEARS], intercept=False)}) f CROSS JOIN (SELECT count(DISTINCT zone) AS units, count(DISTINCT year) AS times FROM zone_panel) c
+WHERE term = 'fhvhv_share'""", tails.t_two_sided("t", "df")))
 def q_fe(spark, d):
     return E.dummy_fixed_effects(panel(spark, d), "zone", "year", "fhvhv_share", "log_yellow")
 
@@ -356,10 +444,15 @@ def q_tier_days(spark, d):
     return tier_days(spark, d)
 
 
-@register("effect_rain_by_distance_tier", "tier:str coef:real se:real p_value:real pct_per_10mm:real n")
+cte("tier_calendar", """SELECT t.tier, ln(greatest(t.trips, 1)) AS log_trips, w.prcp_mm, w.tmax_c, w.awnd_ms, w.snow_mm, isodow(t.date) AS weekday, month(t.date) AS month, year(t.date) AS year
+FROM tier_days t JOIN weather w ON w.date = t.date""")
+
+
+@register("effect_rain_by_distance_tier", "tier:str coef:real se:real p_value:real pct_per_10mm:real n", "SELECT *, g AS tier, 100 * (exp(10 * coef) - 1) AS pct_per_10mm FROM (" + tails.with_p(
+    regress.table(regress.least_squares("SELECT * FROM tier_calendar", "log_trips", ["prcp_mm", *WEATHER], CAL, by="tier", cov="HC3"), ["prcp_mm"]), ROBUST_P) + ") tiers")
 def q_rain_tier(spark, d):
     p = calendar(tier_days(spark, d).join(T("weather")(spark, d), "date")).withColumn("log_trips", X.log_clip1("trips"))
-    return L.ols(p, "log_trips", ["prcp_mm", "tmax_c", "awnd_ms", "snow_mm"], CAL, cov="HC3", by="tier", terms=["prcp_mm"]).withColumn("pct_per_10mm", X.pct_effect("coef"))
+    return L.ols(p, "log_trips", ["prcp_mm", *WEATHER], CAL, cov="HC3", by="tier", terms=["prcp_mm"]).withColumn("pct_per_10mm", X.pct_effect("coef"))
 
 
 @register("ols_zone_trips_distance", "outcome:str term:str coef:real n", """
