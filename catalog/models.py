@@ -253,11 +253,24 @@ def event_panel(spark, d):
                           "premium": X.flag_int(F.col("price_tier") >= 4), "far_metro": X.flag_int(F.coalesce("dist_m", F.lit(999.0)) > 300)})
 
 
-@register("event_effects", ATE + " subset80:real cluster_p:real")
+cte("event_panel", """SELECT h.*, w.prcp_mm, w.tmax_c, month(h.date) AS month
+FROM m_event_hyp h LEFT JOIN weather w ON w.date = h.date WHERE h.venue_id <> 'v5'""")
+EVENT_MODELS = (("log_dist_m", ["price_tier", "prcp_mm", "tmax_c"]), ("price_tier", ["log_dist_m", "prcp_mm", "tmax_c"]))
+_KINDS = ("event_type", "month")
+
+
+def event_effect_sql(treatment: str, adjust: list[str]) -> str:
+    clustered = regress.table(regress.least_squares("SELECT * FROM event_panel", "post_pu_lift_pct", [treatment, *adjust], _KINDS, cov="cluster", cluster="venue_id"), [treatment])
+    sub = regress.least_squares(f"SELECT * FROM event_panel WHERE {draw_sql(43, 'date')} / 4294967296.0 < 0.8", "post_pu_lift_pct", [treatment, *adjust], _KINDS)
+    return effect_sql("SELECT * FROM event_panel", treatment, "post_pu_lift_pct", adjust, _KINDS, model=f"'{treatment}'", subset80=regress.coefficient(sub, treatment),
+                      cluster_p=f"(SELECT {tails.normal_two_sided('stat')} FROM ({clustered}) c)")
+
+
+@register("event_effects", ATE + " subset80:real cluster_p:real", " UNION ALL ".join(f"SELECT * FROM ({event_effect_sql(*m)}) one" for m in EVENT_MODELS))
 def q_event_effects(spark, d):
     p = lineage.cut(event_panel(spark, d))
     out = None
-    for t, adj in (("log_dist_m", ["price_tier", "prcp_mm", "tmax_c"]), ("price_tier", ["log_dist_m", "prcp_mm", "tmax_c"])):
+    for t, adj in EVENT_MODELS:
         one = E.adjusted_effect(p, t, "post_pu_lift_pct", adj, ["event_type", "month"], key="date", refute=("subset",), cluster="venue_id", label=t)
         out = one if out is None else out.unionByName(one)
     return out

@@ -110,3 +110,16 @@ def test_dummy_fixed_effects_on_unbalanced_panel(spark):
     assert r["ate"] == pytest.approx(b[0])
     df_resid = len(a) - X.shape[1]
     assert r["se"] == pytest.approx(np.sqrt(e @ e / df_resid * inv[0, 0]), rel=1e-6)
+
+
+def test_lags_reach_over_block_borders(spark):
+    """Two series, one shorter than a block, blocks shorter than some lags: every lagged product is found, none between series."""
+    rng = np.random.default_rng(11)
+    series = {"a": rng.normal(size=(53, 2)), "b": rng.normal(size=(6, 2)), "c": rng.normal(size=(2, 2))}
+    rows = [(g, t, [float(x) for x in s]) for g, m in series.items() for t, s in enumerate(m)]
+    df = spark.createDataFrame(rows, "grp string, t int, s array<double>").repartition(4)
+    for lags, block in ((3, 7), (9, 4), (3, 1000)):
+        got = L._outer(L.with_earlier(df, "t", lags, block), "s", "s_earlier")
+        for g, m in series.items():
+            want = sum((1 - k / (lags + 1)) * m[k:].T @ m[:-k] for k in range(1, lags + 1) if k < len(m))
+            assert np.allclose(got[g], want)

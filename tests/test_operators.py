@@ -1,3 +1,4 @@
+import bisect
 import datetime as dt
 import random
 
@@ -69,6 +70,29 @@ def test_global_and_average_ranks(spark):
     assert all(tiers[i] == ("g" if v <= t1 else "a" if v <= t2 else "r") for i, v in vals)
 
 
+def test_ranks_of_a_hot_value_are_spread(spark):
+    """A third of the rows share a value and some have none: the value's rows lie in several parts, ranks are those of a plain sort."""
+    rng = random.Random(5)
+    vals = [(i, None if i % 50 == 0 else 7.0 if i % 3 == 0 else float(rng.randrange(20))) for i in range(3000)]
+    df = spark.createDataFrame(vals, "id int, v double").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = W._ordered(df, ["v", "id"]).where("v = 7").select("_part").distinct().count()
+        got = {r["id"]: r["rank"] for r in W.global_rank(df, "v", ["id"]).collect()}
+        avg = [(r["id"], r["m"]) for r in W.average_rank(df, "v", "m").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts > 1
+    key = lambda r: (r[1] is not None, r[1] or 0.0, r[0])
+    assert got == {i: n for n, (i, _) in enumerate(sorted(vals, key=key), start=1)}
+    present = sorted(v for _, v in vals if v is not None)
+    value = dict(vals)
+    assert len(avg) == len(present) and {i for i, _ in avg} == {i for i, v in vals if v is not None}
+    assert all(m == (bisect.bisect_left(present, value[i]) + 1 + bisect.bisect_right(present, value[i])) / 2 for i, m in avg)
+    empty = df.where("id < 0")
+    assert W.global_rank(empty, "v", ["id"]).count() == W.average_rank(empty, "v", "m").count() == 0
+
+
 def test_rollups(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3), (None, "x", 4)], "k string, c string, v int")
     got = {(r["k"], r["c"]): r["s"] for r in rollup_sets(df, ["k", "c"], [["k", "c"], ["c"]], [F.sum("v").alias("s")], {"k": "all"}).collect()}

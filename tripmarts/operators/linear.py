@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from tripmarts import lineage
 from tripmarts.functions import tails
+from tripmarts.operators.window import global_rank
 
 MAX_TERMS = 2000
+#: Rows of a block in which lagged products are taken.
+LAG_BLOCK = 65_536
 BLOCK = "grp string, i int, v array<double>"
 
 
@@ -201,6 +204,26 @@ def _cluster_scores(scores: DataFrame, cluster: str) -> DataFrame:
     return long.groupBy("grp", cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("s"))
 
 
+def with_earlier(scores: DataFrame, order: str, lags: int, block_rows: int = LAG_BLOCK) -> DataFrame:
+    """Score vectors s next to s_earlier, the Bartlett-weighted sum of the `lags` vectors before them in their group.
+
+    Rows are numbered by (group, order) and worked on in blocks of equal size; the last `lags` rows of a block go along to the next one, so that no
+    group is the work of one task and a lag that reaches over a border finds its row.
+    """
+    size = max(block_rows, lags)
+    at = F.col("_rn") - 1
+    here, place = F.floor(at / size), at % size
+    blocks = F.when(place >= size - lags, F.array(here, here + 1)).otherwise(F.array(here))
+    rows = global_rank(scores, "grp", [order], "_rn").withColumn("_here", here).withColumn("_block", F.explode(blocks))
+    w = Window.partitionBy("_block").orderBy("_rn")
+    total = F.transform("s", lambda x: x * 0.0)
+    for k in range(1, lags + 1):
+        earlier, weight = F.lag(F.struct("grp", "s"), k).over(w), 1 - k / (lags + 1)
+        rows = rows.withColumn(f"_lag{k}", F.when(earlier["grp"] == F.col("grp"), earlier["s"]))
+        total = F.when(F.col(f"_lag{k}").isNull(), total).otherwise(F.zip_with(total, f"_lag{k}", lambda a, b: a + weight * b))  # noqa: B023
+    return rows.where("_block = _here").select("grp", "s", total.alias("s_earlier"))
+
+
 def covariance(df: DataFrame, dsg: Design, y: str, fits: dict[str, Fit], cov: str, by: str | None = None,
                cluster: str | None = None, order: str | None = None, lags: int = 3) -> None:
     """Fill in the covariance of each fit: nonrobust, HC3, HAC (Bartlett, `order` rows apart) or cluster."""
@@ -219,12 +242,8 @@ def covariance(df: DataFrame, dsg: Design, y: str, fits: dict[str, Fit], cov: st
     elif cov == "HAC":
         scores = lineage.cut(_scores(df, dsg, y, fits, by, [order], False))
         meat = _outer(scores)
-        # One row per day of a series: ordered within the group.
-        w = Window.partitionBy("grp").orderBy(order)
-        for lag in range(1, lags + 1):
-            pairs = scores.withColumn("s_lag", F.lag("s", lag).over(w)).where("s_lag is not null")
-            for g, m in _outer(pairs, "s", "s_lag").items():
-                meat[g] = meat[g] + (1 - lag / (lags + 1)) * (m + m.T)
+        for g, m in _outer(with_earlier(scores, order, lags), "s", "s_earlier").items():
+            meat[g] = meat[g] + m + m.T
     else:
         raise ValueError(f"unknown covariance {cov}")
     for g, f in fits.items():

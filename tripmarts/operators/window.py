@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripmarts import lineage
+
 
 def share(df: DataFrame, value: str, within: list[str] | None = None, name: str = "share_pct", scale: float = 100.0) -> DataFrame:
     """Percent of the group total, or of the grand total when `within` is empty."""
@@ -64,36 +66,40 @@ def add_group_mean(df: DataFrame, keys: list[str], value: Column, name: str) ->
     return df.join(means, keys, "left")
 
 
-def _spread(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
-    """Add `_part`: a value-ordered part number from approximate quantiles, so that a global order can be
-    worked on part by part. Equal values share a part; the cuts affect balance only."""
-    cuts = df.agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10000))).scalar()
-    return df.withColumn("_cuts", cuts).withColumn(
-        "_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
+def _ordered(df: DataFrame, by: list[str | Column]) -> DataFrame:
+    """The rows in global order, written once: `_part` is the number of the task that held a row, `_inner` its place there from 1.
+    Range borders fall between rows, not between values, so a value that a third of the rows share is spread over tasks as far as `by` tells its rows apart."""
+    at = F.monotonically_increasing_id()
+    placed = lineage.cut(df.orderBy(*by).withColumn("_at", at))
+    return placed.withColumns({"_part": F.shiftright("_at", 33), "_inner": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("_at")
 
 
-def _part_offsets(parted: DataFrame, amount: Column) -> DataFrame:
-    """Amount in all earlier parts; one row per part."""
-    per_part = parted.groupBy("_part").agg(F.sum(amount).alias("_in_part"))
-    return per_part.select("_part", (F.sum("_in_part").over(Window.orderBy("_part")) - F.col("_in_part")).alias("_before"))
+def _offsets(placed: DataFrame) -> DataFrame:
+    """Rows in all earlier parts; one row per task that sorted, so the window is small."""
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    return sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
 
 
 def global_rank(df: DataFrame, value: str, tie: list[str], name: str = "rank") -> DataFrame:
-    """Row number 1..N over the whole table by (value, tie): offsets per part plus a rank inside the part."""
-    parted = _spread(df, value)
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(value, *tie))
-    return (parted.withColumn("_inner", inner).join(_part_offsets(parted, F.lit(1)), "_part")
-            .withColumn(name, F.col("_before") + F.col("_inner")).drop("_part", "_inner", "_before"))
+    """Row number 1..N over the whole table by (value, tie), nulls first: place inside the sorted part plus the rows before it."""
+    placed = _ordered(df, [value, *tie])
+    return placed.join(F.broadcast(_offsets(placed)), "_part").withColumn(name, F.col("_before") + F.col("_inner")).drop("_part", "_inner", "_before")
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Mid-rank of each value over the whole table (ties share the mean of their ranks)."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_ties"))
-    parted = _spread(counts, value)
-    inner = F.sum("_ties").over(Window.partitionBy("_part").orderBy(value))
-    ranks = (parted.withColumn("_upto", inner).join(_part_offsets(parted, F.col("_ties")), "_part")
-             .select(value, (F.col("_before") + F.col("_upto") - (F.col("_ties") - 1) / F.lit(2.0)).alias(name)))
-    return df.join(ranks, value)
+    """Mid-rank of each value over the whole table (ties share the mean of their ranks); rows without a value go.
+
+    Rows of one value may lie in several parts. The first and last place of a run are found inside each part; only runs at the borders of parts
+    (at most two a part) are closed over them, by a table that has fewer rows than there are parts. No value is a key of a shuffle by itself.
+    """
+    placed = _ordered(df.where(F.col(value).isNotNull()).withColumn("_row", F.monotonically_increasing_id()), [value, "_row"])
+    ranked = placed.join(F.broadcast(_offsets(placed)), "_part").withColumn("_at", F.col("_before") + F.col("_inner"))
+    runs = ranked.groupBy("_part", value).agg(F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    crossing = runs.groupBy(F.col(value).alias("_value")).agg(F.min("_low").alias("_first"), F.max("_high").alias("_last"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
+    inside = runs.select(F.col("_part").alias("_run_part"), F.col(value).alias("_run_value"), "_low", "_high")
+    met = ranked.join(inside, (F.col("_part") == F.col("_run_part")) & (F.col(value) == F.col("_run_value"))).join(F.broadcast(crossing), F.col(value) == F.col("_value"), "left")
+    mid = (F.coalesce("_first", "_low") + F.coalesce("_last", "_high")) / F.lit(2.0)
+    return met.select(*df.columns, mid.alias(name))
 
 
 def rank_bins(df: DataFrame, value: str, n: int, tie: list[str], name: str = "bin") -> DataFrame:
