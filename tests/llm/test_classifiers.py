@@ -66,3 +66,28 @@ def test_sample_is_bounded_and_weighted(spark, docs):
     for k in (0, 1):
         n = sum((i > 8) == bool(k) for i in train)
         assert not [1 for _, y, _ in got if y == k] or np.isclose(sum(w for _, y, w in got if y == k), n)
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Every score of the table again, window by window, from the fitted dictionaries and curve."""
+    import math
+
+    docs, labels = read_table(spark, SF, "documents").where("length(text) < 4000 OR text IS NULL"), read_table(spark, SF, "labels")
+    model = toxicity.fit(labelled.sample(docs, labels, "toxic", 4, 2))
+    plain, both = toxicity.compressor(model.ordinary), toxicity.compressor(model.toxic + model.ordinary)
+    texts = docs.select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels, 4, 2, 0.3).collect()}
+    beta, mean, scale = (list(map(float, a)) for a in model.curve)
+    for r in texts:
+        data, saved, at = (r["text"] or "").lower().encode(), [], 0
+        while True:
+            window = data[at:at + 64]
+            saved.append(len(plain(window)) - len(both(window)))
+            at += 48
+            if at >= len(data) - 16:
+                break
+        first, second = (sorted(saved, reverse=True) * 2)[:2] if len(saved) == 1 else sorted(saved, reverse=True)[:2]
+        x = [first, second] + [math.log(1 + sum(s >= m for s in saved)) for m in (2, 3, 4, 5, 6)] + [math.log(1 + len(saved))]
+        z = beta[0] + sum(b * (v - m) / s for b, v, m, s in zip(beta[1:], x, mean, scale, strict=True))
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), rel=1e-9)
+    assert len(got) == len(texts) > 500
