@@ -83,3 +83,27 @@ def test_square_centroid(spark):
     v = spark.createDataFrame([("a", i, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])], "k string, seq int, x double, y double")
     r = spatial.polygon_centroids(v, "k").first()
     assert (r["cx"], r["cy"], r["area"]) == (.5, .5, 1.0)
+
+
+def test_paths_keep_routes_and_not_every_node(spark):
+    side = 24  # a grid with a far corner that no route needs, two places without a way between, a one-way end
+    edges = [((x, y), (x + i, y + j), 1 + ((7 * x + 13 * y) % 5) / 10) for x in range(side) for y in range(side) for i, j in ((0, 1), (1, 0)) if x + i < side and y + j < side]
+    key = lambda p: p[0] * 1000 + p[1]
+    rows = [(key(a), key(b), w) for a, b, w in edges] + [(key(b), key(a), w) for a, b, w in edges] + [(90000, 90001, 1.0), (90002, 0, 0.5)]
+    od = [(0, 2002, 1), (0, 5, 1), (0, 90001, 1), (90000, 0, 1), (90002, 3, 1), (3, 90002, 1), (7, 7, 1)]
+    best = N.shortest_paths(spark.createDataFrame(rows, "u bigint, v bigint, length_m double"), spark.createDataFrame(od, "u bigint, v bigint, trips int")).collect()
+    adj = {}
+    for a, b, w in rows:
+        adj.setdefault(a, []).append((b, w))
+    for s, t, _ in od:
+        dist, heap = {s: 0.0}, [(0.0, s)]
+        while heap:
+            d, n = heapq.heappop(heap)
+            for m, w in adj.get(n, []) if d == dist[n] else []:
+                if d + w < dist.get(m, math.inf):
+                    dist[m] = d + w
+                    heapq.heappush(heap, (d + w, m))
+        got = {r["node"]: (r["dist"], r["prev"]) for r in best if r["source"] == s}
+        assert (t in got) == (t in dist) and got[s] == (0.0, None)
+        assert all(abs(d - dist[n]) < 1e-9 and (p in got or n == s) for n, (d, p) in got.items())
+    assert len(best) < 40  # routes only: every node within reach of the sources would be some hundreds
