@@ -78,10 +78,13 @@ def q_status(spark, d):
 
 
 def land(spark, d, family, table, root, names):
-    """Write the rows of a raw table as sources of a family: {name: condition}."""
-    raw = T(table)(spark, d)
-    for name, condition in names.items():
-        RD.conform(raw.where(condition), FAMILIES[family]).write.parquet(f"{root}/{family}/{name}")
+    """Write the rows of a raw table as sources of a family, {name: condition}, in one pass over the table; a source without rows is an empty file."""
+    source = F.coalesce(*[F.when(condition, name) for name, condition in names.items()])
+    raw = T(table)(spark, d).withColumn("source", source).where("source IS NOT NULL")
+    schema = FAMILIES[family]
+    RD.conform(raw, T_.StructType([*schema.fields, T_.StructField("source", T_.StringType())])).write.mode("append").partitionBy("source").parquet(f"{root}/{family}")
+    for name in names:
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{root}/{family}/source={name}")
 
 
 YEARS_OF_FHVHV = range(1995, 2002)
@@ -97,7 +100,7 @@ FROM (SELECT source, count(*) AS raw_rows FROM yearly_sources GROUP BY 1) r JOIN
 def q_rounds(spark, d):
     """Three years are cleaned; then the others land, one twin loses its end, one is as an older rule left it; backfill and cleaning again mend all."""
     folder = lineage.shared_folder(spark, "family")
-    store_ = CleanStore(spark, f"{folder}/raw", f"{folder}/clean", "fhvhv")
+    store_ = CleanStore(spark, f"{folder}/raw", f"{folder}/clean", "fhvhv", partitioned=True)
     sources = {f"trips_{y}": F.year("source_month") == y for y in YEARS_OF_FHVHV}
     land(spark, d, "fhvhv", "raw_fhvhv", f"{folder}/raw", dict(list(sources.items())[:3]))
     rounds = [store_.backfill()]
@@ -143,7 +146,7 @@ def q_by_type(spark, d):
         y = F.year(PICKUP[family])
         spans = {s: (F.lit(True) if lo is None else y >= lo) & (F.lit(True) if hi is None else y < hi) for s, (lo, hi) in _SPANS.items()}
         land(spark, d, family, name, f"{folder}/raw", spans)
-        store_ = CleanStore(spark, f"{folder}/raw", f"{folder}/clean", family, YEARS)
+        store_ = CleanStore(spark, f"{folder}/raw", f"{folder}/clean", family, YEARS, partitioned=True)
         store_.backfill()
         reports.append(store_.report().withColumn("type", F.lit(family)))
     return C.report_rollup(reduce(lambda a, b: a.unionByName(b), reports), ["type"])

@@ -69,3 +69,17 @@ def test_footers(spark, tmp_path):
     by_name = {r["path"].rsplit("/", 1)[1]: r["status"] for r in rows}
     assert {k: by_name[f"{k}.parquet"] for k in ("cut", "short", "text", "nothing", "bent")} == {"cut": "truncated", "short": "truncated", "text": "foreign", "nothing": "empty", "bent": "damaged"}
     assert sorted(r["rows"] for r in rows if r["status"] == "readable")[-1] == 7 and len({r["columns"] for r in rows if r["status"] == "readable"}) == 1
+
+
+def test_sources_landed_in_one_pass(spark, tmp_path, monkeypatch):
+    from catalog import storage
+
+    table, asked = trips(spark, [("B1", 5, 10), ("B1", 5, 10), ("B2", 7, 3), (None, 9, 1)]), []
+    monkeypatch.setattr(storage, "T", lambda name: lambda spark, d: asked.append(name) or table)
+    base = F.col("dispatching_base_num")
+    storage.land(spark, None, "fhv", "fhv_trips", str(tmp_path / "raw"), {"one": base == "B1", "two": base == "B2", "none": base == "B3"})
+    assert asked == ["fhv_trips"]
+    store = CleanStore(spark, str(tmp_path / "raw"), str(tmp_path / "clean"), "fhv", partitioned=True)
+    assert store.backfill() == ["none", "one", "two"]
+    assert {r["source"]: (r["raw_rows"], r["clean_rows"]) for r in store.report().collect()} == {"one": (2, 1), "two": (1, 1), "none": (0, 0)}
+    assert sorted(r["source"] for r in store.read().collect()) == ["one", "two"]

@@ -1,6 +1,6 @@
 """Clean twins of raw sources on disk: backfill of what has no valid twin, and cleaning again until every twin passes the rules.
 
-A source is a file or folder `raw/<family>/<name>`; its twin is the folder `clean/<family>/source=<name>`. Which twins are valid is read from
+A source is a file or folder `raw/<family>/<name>`, or `raw/<family>/source=<name>` where `partitioned`; its twin is the folder `clean/<family>/source=<name>`. Which twins are valid is read from
 their footers in tasks. Twins are replaced one by one by dynamic partition overwrite, so a lost job leaves old or new twins and no mixture.
 
 Equal rows of a source are kept once. Only 128-bit hashes of the rows are shuffled to find those that occur again; whole rows are shuffled just
@@ -42,8 +42,8 @@ def once_per_source(rows: DataFrame, source: str = "source") -> DataFrame:
 class CleanStore:
     """The clean store of one family."""
 
-    def __init__(self, spark: SparkSession, raw_root: str, clean_root: str, family: str, years: tuple[int, int] = C.YEARS):
-        self.spark, self.family, self.years = spark, family, years
+    def __init__(self, spark: SparkSession, raw_root: str, clean_root: str, family: str, years: tuple[int, int] = C.YEARS, partitioned: bool = False):
+        self.spark, self.family, self.years, self.prefix = spark, family, years, "source=" if partitioned else ""
         self.raw, self.clean = f"{raw_root.rstrip('/')}/{family}", f"{clean_root.rstrip('/')}/{family}"
 
     def _files(self, root: str) -> DataFrame:
@@ -71,9 +71,9 @@ class CleanStore:
 
     def read_raw(self, sources: list[str]) -> DataFrame:
         """Rows of some sources, in the columns of the family, with their source."""
-        rows = readers.read_family(self.spark, self.family, *[f"{self.raw}/{s}" for s in sources], source=True)
+        rows = readers.read_family(self.spark, self.family, *[f"{self.raw}/{self.prefix}{s}" for s in sources], source=True)
         below = F.regexp_replace("source_file", "^.*/" + self.family + "/", "")
-        return rows.withColumn("source", F.split(below, "/")[0]).drop("source_file")
+        return rows.withColumn("source", F.regexp_replace(F.split(below, "/")[0], "^" + self.prefix, "")).drop("source_file")
 
     def clean_sources(self, sources: list[str]) -> None:
         """(Re)write the twins of some sources."""
