@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import T, cte, register
 from catalog.steps import PROVIDER4
+from tripmarts import lineage
 from tripmarts.functions import calendar as cal
 from tripmarts.functions import geo
 from tripmarts.functions import hashing as H
@@ -309,7 +310,7 @@ SELECT l_orderkey, l_linenumber, {PROVIDER4} AS provider,
   CASE WHEN trip_time > 60 THEN driver_pay / (trip_time / 3600.0) END AS hourly_pay,
   CASE WHEN base_passenger_fare > 50 THEN 1 ELSE 0 END AS is_premium, CASE WHEN dow IN (0, 6) THEN 1 ELSE 0 END AS weekend FROM enriched""")
 def features(spark, d):
-    t = C.enrich(T("fhvhv_trips")(spark, d))
+    t = lineage.compiled_apart(C.enrich(lineage.compiled_apart(T("fhvhv_trips")(spark, d))))
     return t.withColumns({
         "provider": X.provider(), "period": X.day_period(F.hour("request_datetime")), "wait_sec": X.wait_seconds(), "arrival_sec": F.col("arrival_offset_sec"),
         "duration_sec": F.col("timestamp_trip_sec"), "date": F.col("pickup_date"), "month": F.col("pickup_month"), "hour": F.col("pickup_hour"),

@@ -1,5 +1,9 @@
 """A sample of registered queries against their oracles on the smallest tables; tools_check.py runs all of them."""
 
+import contextlib
+import io
+import re
+
 import duckdb
 import pytest
 
@@ -22,3 +26,19 @@ def test_matches_oracle(spark, sf, name):
 
 def test_registry_is_consistent():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 200
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_generated_code_of_wide_projections_is_compiled(spark, sf, broadcast):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before, printed = spark.conf.get(name), io.StringIO()
+    spark.conf.set(name, broadcast)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a plan that is not run yet has no code under adaptive execution
+    try:
+        with contextlib.redirect_stdout(printed):
+            catalog.QUERIES["trip_features"](spark, sf).explain("codegen")
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", printed.getvalue())]
+    assert sizes and max(sizes) < 8000
