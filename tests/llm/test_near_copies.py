@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from tripmarts.llm import near_copies, simhash
 from tripmarts.llm.common import read_table
@@ -73,3 +75,26 @@ def test_awkward_rows(docs, empty):
     kept = near_copies.keep_one(docs)
     assert kept.columns == docs.columns and sorted(repr(r["doc_id"]) for r in kept.collect()) == least_of(docs.collect())
     assert near_copies.keep_one(empty).count() == 0
+
+
+def test_candidates_are_near_fingerprints(make_prose):
+    rng = random.Random(8)
+    along = near_copies.directions()
+    first, second = [], []
+    for seed in range(60):
+        words = make_prose(seed, 300).split()
+        first.append(near_copies.shingle_set(" ".join(words).encode()))
+        for at in rng.sample(range(20, 280), 4):
+            words[at] = "other"
+        second.append(near_copies.shingle_set(" ".join(words).encode()))
+    a, b = (np.array([near_copies.bit_counts(s) for s in sets]) for sets in (first, second))
+    for s, counts in zip(first[:5], a[:5]):  # each bit is that of more than half of the hashes, remixed for each word
+        hashes = s * near_copies.FACTORS[0]
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * near_copies.FACTORS[1]
+        hashes = hashes ^ (hashes >> np.uint64(29))
+        held = [sum(int(h) >> bit & 1 for h in word) for word in hashes for bit in range(64)]
+        assert sorted(2 * h - len(s) for h in held) == sorted(counts.tolist())
+    apart = ((a > 0) != (b > 0)).sum(axis=1)
+    assert len(apart) and apart.max() <= near_copies.RADIUS and ((a[1:] > 0) != (b[:-1] > 0)).sum(axis=1).min() > near_copies.RADIUS
+    shared = (near_copies.index_keys(a, along) == near_copies.index_keys(b, along)).any(axis=1)
+    assert shared.mean() >= 0.95
