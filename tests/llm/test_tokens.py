@@ -1,7 +1,10 @@
 """Token counts, BPE and token files against the tokenizers library."""
 
+import os
 import random
 import struct
+import subprocess
+import sys
 
 import public_tokenizers
 import pyarrow as pa
@@ -9,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 from tokenizers.models import Unigram
 
+import corpus_pipeline
 from tripmarts import lineage
 from tripmarts.llm import bpe, token_counts, token_files
 from tripmarts.llm.word_ids import WordIds
@@ -146,3 +150,9 @@ def test_reader_takes_only_the_frames_it_needs(tmp_path):
     (tmp_path / "a.tokens").write_bytes(bytes(damaged))
     with pytest.raises(Exception):
         list(token_files.TokenFile(path).frame(0))
+
+
+def test_decoding_needs_no_tokenizer():
+    code = f"import sys; from tripmarts.llm import bpe; t = bpe.token_bytes({BYTE!r}); assert 'tokenizers' not in sys.modules; print(len(t))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(corpus_pipeline.__file__))
+    assert int(out.stdout) == Tokenizer.from_file(BYTE).get_vocab_size()

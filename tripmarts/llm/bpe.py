@@ -20,6 +20,7 @@ gives no rows. Special tokens written in a text are matched, as the library does
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -38,7 +39,7 @@ PIECE_BYTES = 8192
 LONG_CHARS, PIECE_CHARS = 65_536, 16_384
 #: Set in an id that begins a pre-token or is a special token, while texts are joined.
 MARK = 1 << 31
-CACHE_PIECES = 200_000
+CACHE_PIECES = 50_000
 WORDS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: White space besides blank, tab and line ends: such texts go to the library whole.
 OTHER_SPACE = re.compile("[" + "".join(map(chr, [11, 12, *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]")
@@ -60,6 +61,19 @@ def load(path: str):
     return tok
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id, read from the file: a worker that only decodes holds neither the library nor its merges."""
+    with open(path, encoding="utf-8") as file:
+        saved = json.load(file)
+    letters_of = {i: t for t, i in saved["model"]["vocab"].items()} | {t["id"]: t["content"] for t in saved["added_tokens"]}
+    back = {c: b for b, c in enumerate(byte_letters())}
+    out = [b""] * (max(letters_of, default=-1) + 1)
+    for i, t in letters_of.items():
+        out[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
+    return out
+
+
 class ByteBpe(dict):
     """Piece of text -> its ids as little-endian 32-bit integers; also joins and decodes."""
 
@@ -69,7 +83,6 @@ class ByteBpe(dict):
         self.model = self.tok.model
         letters = byte_letters()
         self.to_letters = {b: letters[b] for b in range(256)}
-        back = {c: b for b, c in enumerate(letters)}
         added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = added
@@ -77,10 +90,7 @@ class ByteBpe(dict):
         self.margin = 4 * (max(map(len, added), default=0) + 4)
         self.marked_words: dict[str, bytes] = {}
         self.letters_of = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
-        size = max(self.letters_of, default=-1) + 1
-        self.bytes_of = [b""] * size
-        for i, t in self.letters_of.items():
-            self.bytes_of[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
+        self.bytes_of = token_bytes(path)
 
     def letters(self, text: str) -> str:
         return text.encode().decode("latin-1").translate(self.to_letters)
@@ -109,9 +119,6 @@ class ByteBpe(dict):
             return as_bytes(self.tok.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.__getitem__, WORDS.findall(text)))
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, as_ids(ids))).decode("utf-8", "replace")
-
     def join(self, left: list[int], right: list[int], start: int = 4) -> list[int]:
         """Encoding of the concatenation of two encoded halves of one pre-token."""
         k = start
@@ -340,8 +347,9 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     schema = StructType([*encoded.schema.fields, StructField(out_col, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(path)
+        bytes_of = token_bytes(path).__getitem__
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([bpe.decode(x or b"") for x in b.column(at).to_pylist()], pa.string())], names=schema.names)
+            texts = [b"".join(map(bytes_of, as_ids(x or b""))).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
