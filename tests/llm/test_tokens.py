@@ -49,6 +49,34 @@ def test_trie_gives_the_same_counts_when_it_is_dropped():
     assert large["abc"] == (2, -2.2) and large["ü"][0] == 2
 
 
+def test_only_pieces_that_end_at_a_node_are_tried():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    scores = Counted({"a": -1.0, "ab": -1.2, "b": -2.0, "c" * 16: -3.0, "c": -1.0})
+    trie = token_counts.PrefixTrie(scores)
+    Counted.asked = 0
+    words = ["ab" * n for n in range(1, 40)] + ["b" + "ab" * n for n in range(1, 40)]
+    assert [trie[w][0] for w in words] == [n for n in range(1, 40)] + [n + 1 for n in range(1, 40)]
+    assert Counted.asked < 100  # 1,985 when each of the last sixteen characters begins a lookup
+
+
+def test_held_prefixes_are_bounded_in_characters():
+    scores = {"a": -1.0, "b": -1.5}
+    small, large = token_counts.PrefixTrie(scores, limit=400), token_counts.PrefixTrie(scores)
+    words = ["b" * n + "ab" * 100 for n in range(1, 150)]
+    assert [small[w] for w in words] == [large[w] for w in words]
+    assert sum(map(len, small.node)) == small.held <= token_counts.NODE_CHARS * 400 + 350 * 350 < large.held
+
+
 def test_long_words_have_the_same_scores_without_nodes(make_prose):
     scores = token_counts.zipf_scores(PIECES)
     stored, unstored = token_counts.PrefixTrie(scores, long=10**6), token_counts.PrefixTrie(scores, long=0)
