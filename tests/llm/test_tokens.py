@@ -77,6 +77,23 @@ def test_held_prefixes_are_bounded_in_characters():
     assert sum(map(len, small.node)) == small.held <= token_counts.NODE_CHARS * 400 + 350 * 350 < large.held
 
 
+def test_decoding_in_parts_and_pieces_that_come_again(monkeypatch, spark):
+    monkeypatch.setattr(bpe, "IDS_AT_ONCE", 3)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 4)
+    tok, own = Tokenizer.from_file(BYTE), bpe.ByteBpe(BYTE)
+    text = "one two üß three one 中文 two, two, one one 4 5 6 7 8 one"
+    ids = own.encode(text)
+    assert ids == struct.pack(f"<{len(ids) // 4}I", *tok.encode(text, add_special_tokens=False).ids) and len(own) + len(own.older) <= 4
+    for cut in range(0, len(ids) + 1, 4):  # also between the bytes of one character
+        assert bpe.decoded(ids[:cut], bpe.token_array(BYTE)) == tok.decode(list(bpe.as_ids(ids[:cut])), skip_special_tokens=False)
+    done = []
+    word = own.word
+    monkeypatch.setattr(own, "word", lambda letters: done.append(letters) or word(letters))
+    own.clear(), own.older.clear()
+    own.encode(" ab cd ab ef ab gh ab ij ab kl ab")
+    assert sum(own.to_letters[ord(" ")] + "ab" == d for d in done) == 1  # a piece in use survives what comes in between
+
+
 def test_long_words_have_the_same_scores_without_nodes(make_prose):
     scores = token_counts.zipf_scores(PIECES)
     stored, unstored = token_counts.PrefixTrie(scores, long=10**6), token_counts.PrefixTrie(scores, long=0)

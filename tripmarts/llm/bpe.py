@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding, exact against the tokenizers library.
 
 Ordinary texts are encoded in place: no shuffle. A text is cut before each run of ASCII white space, where a pre-token always ends,
-and each distinct piece is encoded once per worker (the cache is dropped at CACHE_PIECES pieces, which bounds memory only).
+and pieces that come again are not encoded again (a worker caches up to CACHE_PIECES; the half that was met longer ago is dropped, which
+bounds memory only).
 
 Long texts take tree concatenation: a text is cut into pieces that different tasks encode in parallel; neighbours are then joined
 pairwise, round by round. At a join, a window around it is encoded anew and grows until both sides agree with it.
@@ -9,6 +10,7 @@ pairwise, round by round. At a join, a window around it is encoded anew and grow
 * Texts of more than long_chars characters are cut at any place. The first token of each pre-token is marked; the window begins at
   a mark of the left side, far enough from its end that what follows can't move the mark. The sides agree where a pre-token of the
   window begins at a mark of the right side: pre-tokens depend on nothing before them, so from there on the right side stands.
+  Both kinds of texts are found in one pass and kept apart, since a pattern over each text costs more than to read it.
 * A long pre-token (a run of more than piece_bytes bytes in its letters) has no marks. It is cut by itself: the last k tokens of
   the left and the first k tokens of the right side are encoded anew as one text; k doubles until the new tokens start with the
   left side's token at that place and end with the right side's. A BPE encoding is right exactly if all neighbouring tokens are
@@ -40,6 +42,8 @@ LONG_CHARS, PIECE_CHARS = 65_536, 16_384
 #: Set in an id that begins a pre-token or is a special token, while texts are joined.
 MARK = 1 << 31
 CACHE_PIECES = 50_000
+#: Ids that are decoded by one lookup.
+IDS_AT_ONCE = 1 << 18
 WORDS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: White space besides blank, tab and line ends: such texts go to the library whole.
 OTHER_SPACE = re.compile("[" + "".join(map(chr, [11, 12, *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]")
@@ -61,6 +65,22 @@ def load(path: str):
     return tok
 
 
+@lru_cache(maxsize=2)
+def token_array(path: str) -> pa.Array:
+    """token_bytes as one Arrow array, of which ids take what they stand for."""
+    return pa.array(token_bytes(path), pa.large_binary())
+
+
+def decoded(ids: bytes, tokens: pa.Array) -> str:
+    """The text of little-endian unsigned 32-bit ids."""
+    out = []
+    for at in range(0, len(ids), 4 * IDS_AT_ONCE):
+        taken = tokens.take(pa.array(np.frombuffer(ids, "<u4", min(IDS_AT_ONCE, (len(ids) - at) // 4), at)))
+        _, ends, data = taken.buffers()
+        out.append(memoryview(data or b"")[:np.frombuffer(ends, np.int64)[len(taken)]])
+    return b"".join(out).decode("utf-8", "replace")
+
+
 @lru_cache(maxsize=2)
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id, read from the file: a worker that only decodes holds neither the library nor its merges."""
@@ -79,6 +99,7 @@ class ByteBpe(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tok = load(path)
         self.model = self.tok.model
         letters = byte_letters()
@@ -100,6 +121,13 @@ class ByteBpe(dict):
         return [t.id for t in self.model.tokenize(letters)] if letters else []
 
     def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
+        known = self.older.get(piece)
+        if known is not None:
+            self[piece] = known
+            return known
         word = piece[1:] if piece[0] == " " else piece
         if word.isalpha():
             ids = self.word(self.letters(piece))
@@ -107,8 +135,6 @@ class ByteBpe(dict):
             ids = self.word(self.letters(piece[:-1])) + self.word(word[-1])
         else:
             ids = self.tok.encode(piece, add_special_tokens=False).ids
-        if len(self) >= CACHE_PIECES:
-            self.clear()
         out = as_bytes(ids)
         if len(piece) <= 256:
             self[piece] = out
@@ -331,11 +357,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     rows = id_and_text(docs, id_col, text_col)
     run = max(1, piece_bytes // 4)
     unsplit = F.col("text_").rlike(rf"(?<![^ \t\n\r])[^ \t\n\r]{{{run}}}|(?<![ \t\n\r])[ \t\n\r]{{{run}}}")
-    large = F.length("text_") > long_chars
+    large = F.length("text_") > long_chars  # tested first: it is far cheaper than the pattern
     fields = [StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
-    out = map_columns(rows.where(~unsplit & ~large), "text_", _encoder(path), fields, drop_text=True)
-    for chosen, tree, size in ((unsplit, _word_tree, piece_bytes), (~unsplit & large, _text_tree, piece_chars)):
-        long = rows.where(chosen).withColumn("key", F.sha2("text_", 256))
+    out = map_columns(rows.where(~large).where(~unsplit), "text_", _encoder(path), fields, drop_text=True)
+    apart = lineage.cut(rows.where(large | unsplit).select("*", F.sha2("text_", 256).alias("key"), unsplit.alias("unsplit_")))
+    for chosen, tree, size in ((F.col("unsplit_"), _word_tree, piece_bytes), (~F.col("unsplit_"), _text_tree, piece_chars)):
+        long = apart.where(chosen)
         coded = tree(long.select("key", "text_").dropDuplicates(["key"]), path, size)
         out = out.unionByName(long.select(id_col, "key").join(coded, "key").select(id_col, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids"))
     return out
@@ -347,9 +374,9 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     schema = StructType([*encoded.schema.fields, StructField(out_col, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = token_bytes(path).__getitem__
+        tokens = token_array(path)
         for b in slices(batches):
-            texts = [b"".join(map(bytes_of, as_ids(x or b""))).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
+            texts = [decoded(x or b"", tokens) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
