@@ -71,6 +71,45 @@ def test_chains_crowds_and_borders(spark, make_prose):
     assert sorted(repr(r["doc_id"]) for r in near_copies.keep_one(df).collect()) == least_of(df.collect())
 
 
+def test_crowds_of_copies_that_are_not_similar_enough(spark, make_prose, monkeypatch):
+    rng = random.Random(5)
+    base = make_prose(9, 150).split()
+    texts = [" ".join(base)]
+    for n in range(160):
+        words = list(base)
+        for at in rng.sample(range(6, 140, 5), 1 if n % 2 else 4):  # four edits are too many for a link, but near enough to be candidates
+            words[at] = f"own{n}x{at}"
+        texts.append(" ".join(words))
+        if n % 8 == 0:
+            words[rng.randrange(len(words))] = f"more{n}"  # linked by the edits in common alone
+            texts.append(" ".join(words))
+        if n % 10 == 0:
+            texts.append(" ".join(base[:n // 10] + base[n // 10 + 40:]))  # nothing rare, linked by what is left out
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, root = [plain_set(t) for t in texts], list(range(len(texts)))
+    for j, s in enumerate(sets):
+        for i in range(j):
+            if root[i] != root[j] and 5 * len(s & sets[i]) >= 4 * len(s | sets[i]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    want = sorted(map(repr, set(root)))
+    assert 40 < len(want) < 100
+    compared = []
+    verified = near_copies.verified
+
+    def counting(pairs, sets):
+        compared[-1] += pairs.count()
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "verified", counting)
+    monkeypatch.setattr(near_copies, "COMMON", 16)
+    for crowd in (8, 10 ** 6):
+        monkeypatch.setattr(near_copies, "CROWD", crowd)
+        compared.append(0)
+        assert sorted(repr(r["doc_id"]) for r in near_copies.keep_one(df).collect()) == want
+    assert compared[0] * 2 < compared[1]  # the second as before: pair by pair
+
+
 def test_awkward_rows(docs, empty):
     kept = near_copies.keep_one(docs)
     assert kept.columns == docs.columns and sorted(repr(r["doc_id"]) for r in kept.collect()) == least_of(docs.collect())
