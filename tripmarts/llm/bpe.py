@@ -26,7 +26,6 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tripmarts import lineage
-from tripmarts.llm.common import id_and_text, map_columns, slices
+from tripmarts.llm.common import give_back, id_and_text, kept, map_columns, slices
 
 PIECE_BYTES = 8192
 LONG_CHARS, PIECE_CHARS = 65_536, 16_384
@@ -65,7 +64,7 @@ def load(path: str):
     return tok
 
 
-@lru_cache(maxsize=2)
+@kept
 def token_array(path: str) -> pa.Array:
     """token_bytes as one Arrow array, of which ids take what they stand for."""
     return pa.array(token_bytes(path), pa.large_binary())
@@ -81,7 +80,7 @@ def decoded(ids: bytes, tokens: pa.Array) -> str:
     return b"".join(out).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@kept
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id, read from the file: a worker that only decodes holds neither the library nor its merges."""
     with open(path, encoding="utf-8") as file:
@@ -211,9 +210,9 @@ def as_ids(data: bytes) -> array:
     return out
 
 
-@lru_cache(maxsize=2)
+@kept
 def byte_bpe(path: str) -> ByteBpe:
-    """Kept by the worker from task to task."""
+    """Kept by the worker from task to task, while it encodes."""
     return ByteBpe(path)
 
 
@@ -378,5 +377,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
         for b in slices(batches):
             texts = [decoded(x or b"", tokens) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=schema.names)
+        del tokens
+        give_back()
 
     return encoded.mapInArrow(run, schema)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +55,35 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE_ROWS)
 
 
+#: Caches of the functions that are `kept`, by module.
+_kept: dict[str, list] = {}
+
+
+def kept(make: Callable) -> Callable:
+    """A worker keeps what make returns from task to task, until it turns to another operator."""
+    cached = lru_cache(maxsize=2)(make)
+    _kept.setdefault(make.__module__, []).append(cached)
+    return cached
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker lives on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def turn_to(module: str) -> None:
+    """Drop what other operators' tasks have kept in this worker, as all operators of a session use the same workers in turn."""
+    others = [c for name, caches in _kept.items() if name != module for c in caches if c.cache_info().currsize]
+    for cached in others:
+        cached.cache_clear()
+    if others:
+        gc.collect()
+        give_back()
+
+
 def map_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list[pa.Array]]], fields: list[StructField],
                 drop_text: bool = False) -> DataFrame:
     """Append columns computed from a text column, batch by batch inside the tasks.
@@ -60,13 +92,16 @@ def map_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[
     columns pass through untouched; the text column goes too if drop_text.
     """
     at = df.columns.index(text_col)
-    kept = [i for i in range(len(df.columns)) if not (drop_text and i == at)]
-    schema = StructType([df.schema.fields[i] for i in kept] + fields)
+    passed = [i for i in range(len(df.columns)) if not (drop_text and i == at)]
+    schema = StructType([df.schema.fields[i] for i in passed] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(make.__module__)
         work = make()
         for batch in slices(batches):
             new = work([t or "" for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + new, names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in passed] + new, names=schema.names)
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
