@@ -137,3 +137,55 @@ def test_candidates_are_near_fingerprints(make_prose):
     assert len(apart) and apart.max() <= near_copies.RADIUS and ((a[1:] > 0) != (b[:-1] > 0)).sum(axis=1).min() > near_copies.RADIUS
     shared = (near_copies.index_keys(a, along) == near_copies.index_keys(b, along)).any(axis=1)
     assert shared.mean() >= 0.95
+
+
+def test_no_pair_at_the_least_similarity_is_missed(spark):
+    rng = random.Random(11)
+
+    def copy(words, edits):
+        words = list(words)
+        for at in rng.sample(range(5, len(words) - 5, 5), edits):
+            words[at] = f"e{rng.randrange(10 ** 9)}"
+        return " ".join(words)
+
+    texts = []
+    for n, edits, pairs in ((94, 2, 600), (93, 2, 30), (3000, 66, 6), (3000, 67, 6)):  # 80 of 100, 79 of 99, 2666 of 3326, 2661 of 3331 shingles
+        for _ in range(pairs):
+            words = [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+            texts += [" ".join(words), copy(words, edits)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = least_of(df.collect())
+    assert len(want) == len(texts) - 600 - 6
+    assert sorted(repr(r["doc_id"]) for r in near_copies.keep_one(df).collect()) == want
+
+
+def test_components_on_the_driver(spark):
+    rng = random.Random(2)
+    pairs = [tuple(sorted(rng.sample(range(-300, 300), 2))) for _ in range(250)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    assert sorted(near_copies.driver_components(links).collect()) == sorted(simhash.components(links).collect())
+    assert near_copies.roots_of(links.limit(0)).count() == 0
+
+
+def test_what_a_link_needs_is_never_ruled_out():
+    rng = np.random.Generator(np.random.PCG64(4))
+    common = np.sort(rng.integers(0, 1 << 63, 50, np.uint64))
+    rank = rng.permutation(50)
+    for n in (1, 4, 5, 9, 37, 300, 2500):
+        for _ in range(20):
+            whole = rng.integers(0, 1 << 63, n, np.uint64)
+            whole[:n // 3] = rng.choice(common, n // 3) if n < 100 else whole[:n // 3]
+            a = np.unique(whole[rng.random(n) > 0.08])
+            b = np.unique(np.concatenate([whole[rng.random(n) > 0.08], rng.integers(0, 1 << 63, n // 30, np.uint64)]))
+            shared = len(np.intersect1d(a, b))
+            differ = len(a) + len(b) - 2 * shared
+            assert np.bitwise_count(near_copies.parities(a).view(np.uint64) ^ near_copies.parities(b).view(np.uint64)).sum() <= differ
+            counts = near_copies.bin_counts(a), near_copies.bin_counts(b)
+            assert len(counts[0]) == (near_copies.BINS if len(a) > near_copies.LONG else 0)
+            if all(map(len, counts)):
+                assert np.abs(counts[0].astype(int) - counts[1]).sum() <= differ
+            if len(a) and 5 * shared >= 4 * (len(a) + len(b) - shared):
+                small, large = sorted((a, b), key=len)
+                firsts = [near_copies.first_shingles(x, common, rank) for x in (small, large)]
+                assert [len(x) for x in firsts] == [len(x) // 5 + 1 for x in (small, large)]
+                assert len(np.intersect1d(firsts[0][:len(small) // 9 + 1], firsts[1]))
